@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lumenquarry.llm.common import id_and_text, slices
@@ -22,7 +23,7 @@ def _lengths(batches: Iterator[pa.RecordBatch], limit: int, batch_bytes: int) ->
             texts = batch.column("text").to_pylist()
             counts = np.fromiter((sum(len(enc.encode(part, allowed_special="all")) for part in safe_cuts(t)) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.compute.binary_length(batch.column("text")).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)],
+                [batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
