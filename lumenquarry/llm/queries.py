@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenquarry.llm.bpe import bpe_round_trip
 from lumenquarry.llm.common import documents
+from lumenquarry.llm.jaccard_join import jaccard_components
 from lumenquarry.llm.packing import pack_documents
 from lumenquarry.llm.substring_dedup import substring_dedup
 from lumenquarry.llm.token_counts import token_counts
@@ -29,8 +30,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
