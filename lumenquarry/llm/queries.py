@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenquarry.llm.bpe import bpe_round_trip
 from lumenquarry.llm.common import documents
 from lumenquarry.llm.jaccard_join import jaccard_components
+from lumenquarry.llm.matroska import media_features
 from lumenquarry.llm.packing import pack_documents
 from lumenquarry.llm.substring_dedup import substring_dedup
 from lumenquarry.llm.token_counts import token_counts
+from lumenquarry.llm.toxicity import toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +36,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join, op8_toxicity, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
