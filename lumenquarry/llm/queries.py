@@ -11,6 +11,7 @@ from lumenquarry.llm.common import documents
 from lumenquarry.llm.jaccard_join import jaccard_components
 from lumenquarry.llm.matroska import media_features
 from lumenquarry.llm.packing import pack_documents
+from lumenquarry.llm.pii import find_pii
 from lumenquarry.llm.substring_dedup import substring_dedup
 from lumenquarry.llm.token_counts import token_counts
 from lumenquarry.llm.toxicity import toxicity
@@ -36,6 +37,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,7 +50,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join, op8_toxicity, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join, op7_pii, op8_toxicity, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
