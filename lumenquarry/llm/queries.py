@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenquarry.llm.ann import nearest
 from lumenquarry.llm.bpe import bpe_round_trip
 from lumenquarry.llm.common import documents
+from lumenquarry.llm.hpylm import score_texts
 from lumenquarry.llm.jaccard_join import jaccard_components
 from lumenquarry.llm.matroska import media_features
 from lumenquarry.llm.packing import pack_documents
@@ -54,8 +55,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join, op6_cross_polytope_ann, op7_pii, op8_toxicity, op9_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join, op6_cross_polytope_ann, op7_pii, op8_toxicity, op9_media_columns, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,12 +44,12 @@ class Powers:
 _bytes_powers, _word_powers = Powers(_BASE), Powers(_WORD_BASE)
 
 
-def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in turn, and the number of words of each text. lower: A-Z count as a-z."""
+def measured_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths in bytes of all words of all texts in turn, and the number of words of each text. lower: A-Z count as a-z."""
     buf = np.frombuffer(b" ".join(texts), np.uint8)
     ends_of_texts = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
@@ -57,7 +57,12 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_table(lower)[buf] * up[: len(buf)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(starts, ends_of_texts), prepend=0)
+    return hashes, ends - starts, np.diff(np.searchsorted(starts, ends_of_texts), prepend=0)
+
+
+def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    hashes, _, counts = measured_words(texts, lower)
+    return hashes, counts
 
 
 class Rolling:
