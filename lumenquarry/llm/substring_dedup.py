@@ -71,6 +71,10 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
             s = Segments(_texts(batch), length)
+            once = np.lexsort((s.hash, s.doc))  # a document that repeats itself gives each segment once
+            same = (s.doc[once][1:] == s.doc[once][:-1]) & (s.hash[once][1:] == s.hash[once][:-1])
+            once = once[np.r_[True, ~same]] if len(once) else once
+            s.anchor, s.hash, s.doc = s.anchor[once], s.hash[once], s.doc[once]
             yield pa.RecordBatch.from_arrays([pa.array(s.anchor.view(np.int64)), pa.array(s.hash.view(np.int64)), batch.column("doc_id").take(pa.array(s.doc))], names=["anchor", "segment", "doc_id"])
 
 
@@ -102,7 +106,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(s.anchor[seg].view(np.int64)), pa.array(s.rolling(window, length).view(np.int64)), batch.column("doc_id").take(pa.array(s.doc[seg]))], names=["anchor", "window", "doc_id"])
 
 
-def _removals(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _removals(batches: Iterator[pa.RecordBatch], length: int, with_text: bool, carried: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
             texts = _texts(batch)
@@ -132,13 +136,18 @@ def _removals(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -
             columns = [batch.column("doc_id"), pa.array(s.counts), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                columns += [pa.array([k.decode() for k in kept], pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
+                kept_text = [k.decode() if r else t.decode() for k, t, r in zip(kept, texts, n_removed, strict=True)]
+                columns += [pa.array(kept_text, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
                 names += ["kept", "removed"]
+            for c in range(carried):
+                columns.append(batch.column(f"carried{c}"))
+                names.append(f"carried{c}")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256; with_text adds the kept text and the maximal removed intervals (word numbers).
+def substring_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256; with_text adds the kept text (as it was, if nothing goes) and the
+    maximal removed intervals (word numbers); carry names columns of docs that come along.
 
     A word goes if a window of `length` words over it also starts in a document with a smaller id;
     windows are those of the input. Null text: no words. Texts under `length` words keep all. Rows
@@ -146,14 +155,17 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     (a null id is smaller than none and larger than none). Repeated rows each give a row. An empty
     table gives an empty table; other columns are not read.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    carried = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
+    full_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
+    rows = full_rows.select("doc_id", "text") if carry else id_and_text(docs, id_col, text_col)
     segments = rows.where("doc_id is not null").mapInArrow(lambda it: _segment_rows(it, length), "anchor long, segment long, doc_id long")
     anchors = segments.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
-    anchors = anchors.where("lo < hi").select("anchor", "lo", (F.col("s0") == F.col("s1")).alias("same"))
+    # a table of its own: the joins below then read plain exchanges, which Spark splits where a key is hot
+    anchors = saved(anchors.where("lo < hi").select("anchor", "lo", (F.col("s0") == F.col("s1")).alias("same")), "anchors")
     repeated = saved(segments.join(anchors.hint("shuffle_merge"), "anchor").where("not same or doc_id > lo"), "repeated")
     whole = repeated.where("same").select("doc_id", "segment", F.lit(True).alias("whole"))
     differing = repeated.where("not same").select("anchor", "segment", "doc_id")
-    first = differing.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo"))
+    first = saved(differing.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo")), "first")
     decided = differing.join(first.hint("shuffle_merge"), ["anchor", "segment"]).select("doc_id", "segment", (F.col("doc_id") > F.col("lo")).alias("whole"))
     marks = whole.unionByName(decided).groupBy("doc_id").agg(F.collect_set(F.when(F.col("whole"), F.col("segment"))).alias("wholes"), F.collect_set(F.when(~F.col("whole"), F.col("segment"))).alias("parts"))
     marks = saved(marks, "marks")
@@ -161,6 +173,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     windows = some.mapInArrow(lambda it: _window_rows(it, length), "anchor long, window long, doc_id long")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     gone = windows.join(least.hint("shuffle_merge"), ["anchor", "window"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    full = rows.join(marks.hint("shuffle_merge"), "doc_id", "left").join(gone.hint("shuffle_merge"), "doc_id", "left")
+    full = (full_rows if carry else rows).join(marks.hint("shuffle_merge"), "doc_id", "left").join(gone.hint("shuffle_merge"), "doc_id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, removed array<struct<first:long,last:long>>" if with_text else "")
-    return full.select("doc_id", "text", "wholes", "parts", "windows").mapInArrow(lambda it: _removals(it, length, with_text), schema)
+    names = [f"carried{i}" for i in range(len(carry))]
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
+    out = full.select("doc_id", "text", "wholes", "parts", "windows", *names).mapInArrow(lambda it: _removals(it, length, with_text, len(carry)), schema)
+    return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
