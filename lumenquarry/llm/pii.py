@@ -413,3 +413,20 @@ def find_pii(docs: DataFrame, redacted: bool = False, examples: int = EXAMPLES,
     model = docs.sparkSession.sparkContext.broadcast(trained(examples, seed))
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + (", redacted string" if redacted else "")
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _found(it, model.value, redacted), schema)
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch], model: BiLstmCrf, text_col: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, SLICE_BYTES, text_col):
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            spans = [b + m for b, m in zip(base, model_spans(model, texts, base), strict=True)]
+            clean = [redact(t, s) if s else was for t, s, was in zip(texts, spans, batch.column(text_col).to_pylist(), strict=True)]
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+
+
+def redact_documents(docs: DataFrame, examples: int = EXAMPLES, seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """docs, with every span of `find_pii` replaced by its kind; other columns and null texts stay. Narrow: no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(trained(examples, seed))
+    return docs.mapInArrow(lambda it: _rewritten(it, model.value, text_col), docs.schema)

@@ -154,3 +154,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample, id_col, text_col))
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _scored(it, model.value), "doc_id long, expected_severity double, grade int, toxic_probability double, toxic boolean")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_col: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, SLICE_BYTES, text_col):
+            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(model.scores(texts)[:, 0] < 0.5))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that `toxicity` doesn't call toxic. Narrow: no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample, id_col, text_col))
+    return docs.mapInArrow(lambda it: _clean(it, model.value, text_col), docs.schema)
