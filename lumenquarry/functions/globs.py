@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def glob_regex(glob: str) -> str:
-    """`**/` any folders, `**` anything, `*` and `?` within a name, [a-z] and [!a-z] classes, {a,b} choices."""
+    """`**/` any folders, `**` anything, `*` and `?` within a name, [a-z] and [!a-z] classes, {a,b} choices. Text that isn't a pattern stands for itself."""
     out, i, depth = [], 0, 0
     while i < len(glob):
         c = glob[i]
@@ -40,7 +40,12 @@ def glob_regex(glob: str) -> str:
         else:
             out.append(re.escape(c))
         i += 1
-    return "^" + "".join(out) + "$"
+    pattern = "^" + "".join(out) + "$"
+    try:
+        re.compile(pattern)
+    except re.PatternError:
+        return "^" + re.escape(glob) + "$"
+    return pattern
 
 
 def glob_match(path: Column, glob: str) -> Column:

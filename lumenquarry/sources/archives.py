@@ -56,7 +56,7 @@ def _members(raw: bytes, name: str, kind: str, limits: Archives) -> Iterator[tup
                 if info.isfile():
                     yield info.name, info.size, _read(t.extractfile(info), limits.max_total_size)
     else:
-        opened = {"gz": gzip.GzipFile, "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind]
+        opened = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[kind]
         with opened(io.BytesIO(raw)) as f:
             out = _read(f, min(limits.max_total_size, len(raw) * (limits.max_ratio + 1)))
         base = name.rpartition("/")[2]
