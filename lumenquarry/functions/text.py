@@ -200,3 +200,18 @@ def language(text: Column) -> Column:
     best = F.array_max(F.transform(F.array(*scores), lambda s: s["n"]))
     code = F.filter(F.array(*scores), lambda s: s["n"] == best)[0]["code"]
     return F.when((F.octet_length(text) >= 20) & (best > 0), code)
+
+
+def sentences(text: Column) -> Column:
+    """Pieces that end with . ! or ? before white space."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+
+
+def with_prefix(context: Column, text: Column) -> Column:
+    """The text under its heading, where it has one."""
+    return F.when(context.isNull() | (context == ""), text).otherwise(F.concat(context, F.lit("\n"), text))
+
+
+def scanned(text: Column, pages: Column) -> Column:
+    """Pages without a text layer: some, with under 20 characters among them."""
+    return (pages >= 1) & (F.length(F.trim(F.coalesce(text, F.lit("")))) < 20)

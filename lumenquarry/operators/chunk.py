@@ -61,3 +61,26 @@ def merged(blocks_: DataFrame, key: str, target: int = 512, order: str = "block_
 
     rows = d.select(key, F.posexplode(F.aggregate("b", zero, add)).alias("chunk_ord", "c"))
     return rows.select(key, "chunk_ord", F.col("c.first").alias("first_block"), F.col("c.n").alias("n_words"), F.col("c.t").alias("text"))
+
+
+def sentence_chunks(rows: DataFrame, key: str, order: str, text: Column, target: int = 512, hard_max: int = 8192) -> DataFrame:
+    """(key, order, piece, n_words, text): blocks of over target words cut between sentences; a sentence of over hard_max words is cut between words."""
+    from lumenquarry.functions.text import sentences
+
+    parts = sentences(text)
+    pieces = F.flatten(
+        F.transform(
+            parts,
+            lambda s: F.when(F.size(words(s)) <= hard_max, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(words(s)) - 1) / hard_max).cast("int")), lambda i: F.array_join(F.slice(words(s), i * hard_max + 1, F.lit(hard_max)), " "))),
+        )
+    )
+    zero = F.array().cast("array<struct<n:int,t:string>>")
+
+    def add(acc: Column, s: Column) -> Column:
+        last, n = F.try_element_at(acc, F.lit(-1)), F.size(words(s))
+        fits = F.coalesce(last["n"] + n <= target, F.lit(False))
+        joined = F.struct((last["n"] + n).alias("n"), F.concat_ws(" ", last["t"], s).alias("t"))
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(F.struct(n.alias("n"), s.alias("t")))))
+
+    d = rows.select(key, order, F.posexplode(F.aggregate(pieces, zero, add)).alias("piece", "c"))
+    return d.select(key, order, "piece", F.col("c.n").alias("n_words"), F.col("c.t").alias("text"))

@@ -167,3 +167,26 @@ def archive_limits(members: DataFrame, max_total: int, max_members: int, max_rat
 def estimates(manifest: DataFrame) -> DataFrame:
     """One row: bytes that an index and a walk of these files need, by the rules of thumb of 0.5 % of the data and 500 bytes a file."""
     return manifest.agg((F.sum("size") / 200).cast("long").alias("index_bytes"), (F.count(F.lit(1)) * 500).alias("walk_bytes"))
+
+
+def still_as_walked(walked: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of the first walk whose size and time are the same in the second: what was read in between can be trusted."""
+    return walked.join(again.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_semi")
+
+
+def prioritized(work: DataFrame, terms: list[str]) -> DataFrame:
+    """Work whose path holds a term of the query first, then by path."""
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | F.lower("path").contains(t.lower())
+    return work.orderBy(hit.desc(), "path")
+
+
+def orphans(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of a side table whose file isn't in the manifest any more."""
+    return rows.join(manifest.select("file_id"), "file_id", "left_anti")
+
+
+def tree_of_archives(manifest: DataFrame) -> DataFrame:
+    """(parent_archive_id, members) of every archive that has any."""
+    return manifest.where("parent_archive_id is not null").groupBy("parent_archive_id").agg(F.count(F.lit(1)).alias("members"))

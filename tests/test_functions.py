@@ -134,3 +134,20 @@ def test_any_glob_is_a_pattern(glob, path):
 
     re.match(G.glob_regex(glob), path)
     assert re.match(G.glob_regex("**"), path)
+
+
+def test_dates(spark):
+    from lumenquarry.functions import dates as D
+
+    now = 1_700_000_000 * 10**9
+    assert D.parse_when("2w", now) == now - 14 * 86400 * 10**9 and D.parse_when("3m", now) == now - 90 * 86400 * 10**9
+    assert D.parse_when("2024-05-01", now) == 1714521600 * 10**9 == D.parse_when("2024-05-01T02:00:00+02:00", now)
+    with pytest.raises(IndexError_):
+        D.parse_when("soon", now)
+    assert value(spark, D.timestamp_of_ns(F.lit(1714521600123456789)).cast("string")) == "2024-05-01 00:00:00.123456"
+
+
+def test_sentences_and_headings(spark):
+    assert value(spark, X.sentences(F.lit("One. Two!  Three? four"))) == ["One.", "Two!", "Three?", "four"]
+    assert value(spark, X.with_prefix(F.lit("H"), F.lit("t"))) == "H\nt" and value(spark, X.with_prefix(F.lit(None).cast("string"), F.lit("t"))) == "t"
+    assert [r[0] for r in values(spark, [("", 2), ("x" * 30, 2), (None, 0)], "t string, p int", X.scanned(F.col("t"), F.col("p")))] == [True, False, False]

@@ -112,3 +112,22 @@ def test_event_stream_equals_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, event_windows(events).collect()))
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    from lumenquarry.streaming.progress import ProgressListener
+
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "p"))
+    seen = []
+    listener = ProgressListener(seen.append)
+    spark.streams.addListener(listener)
+    try:
+        spark.readStream.schema("id long").parquet(str(tmp_path / "p")).writeStream.format("noop").queryName("steps").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        import time
+
+        until = time.time() + 20
+        while time.time() < until and not any(p.done for p in seen):
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(p.rows for p in seen) == 5 and seen[-1].done

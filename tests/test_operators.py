@@ -213,3 +213,19 @@ def test_archives(spark):
 def test_archive_limits(spark):
     m = spark.createDataFrame([("a", i, 10, 10 if i != 2 else 5000) for i in range(5)], "archive_id string, ord long, compressed long, size long")
     assert [r.allowed for r in N.archive_limits(m, 10_000, 4, 200).orderBy("ord").collect()] == [True, True, False, True, False]
+
+
+def test_long_blocks_are_cut_between_sentences(spark):
+    d = spark.createDataFrame([(1, 0, "a b c. d e. f g h i j k l.")], "file_id long, block_ord int, text string")
+    got = rows(C.sentence_chunks(d, "file_id", "block_ord", F.col("text"), 5, 4), "piece")
+    assert [r[4] for r in got] == ["a b c. d e.", "f g h i", "j k l."] and [r[3] for r in got] == [5, 4, 3]
+
+
+def test_work_and_leftovers(spark):
+    w = spark.createDataFrame([("b/x", 1, 1), ("a/y", 1, 1)], "path string, size long, mtime_ns long")
+    again = spark.createDataFrame([("b/x", 1, 2), ("a/y", 1, 1)], "path string, size long, mtime_ns long")
+    assert [r.path for r in N.still_as_walked(w, again).collect()] == ["a/y"]
+    assert [r.path for r in N.prioritized(w, ["X"]).collect()] == ["b/x", "a/y"]
+    m = spark.createDataFrame([(1, None), (2, 1)], "file_id long, parent_archive_id long")
+    assert [r.file_id for r in N.orphans(spark.createDataFrame([(1,), (9,)], "file_id long"), m).collect()] == [9]
+    assert rows(N.tree_of_archives(m), "members") == [(1, 1)]
