@@ -12,14 +12,25 @@ from pyspark.sql import functions as F
 
 #: Where scratch tables go when the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of rows in an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what one Arrow batch brings to a Python worker to BATCH_BYTES, however long the texts are (a longer row comes alone)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads; a null text becomes the empty text."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenquarry.llm.common import id_and_text, slices
+from lumenquarry.llm.common import bounded_batches, id_and_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end (exclusive), in code points
@@ -428,5 +428,6 @@ def _rewritten(batches: Iterator[pa.RecordBatch], model: BiLstmCrf, text_col: st
 
 def redact_documents(docs: DataFrame, examples: int = EXAMPLES, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """docs, with every span of `find_pii` replaced by its kind; other columns and null texts stay. Narrow: no shuffle."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained(examples, seed))
     return docs.mapInArrow(lambda it: _rewritten(it, model.value, text_col), docs.schema)
