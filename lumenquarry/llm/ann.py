@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import saved
+from lumenquarry.llm.common import lean, saved
 
 #: Hash tables, buckets probed in each for a query, rounds of a pseudo-rotation, its seed.
 TABLES, PROBES, ROUNDS, SEED = 16, 6, 3, 11
@@ -75,6 +75,7 @@ def _matrix(column: pa.Array, dim: int, rows: np.ndarray) -> np.ndarray:
     return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
 
 
+@lean
 def _best(batches: Iterator[pa.RecordBatch], blocks: dict[int, QueryBlock], keep: int) -> Iterator[pa.RecordBatch]:
     """From each partition of the index: the `keep` best classes for each query vector."""
     kept: dict[int, list] = {d: [] for d in blocks}

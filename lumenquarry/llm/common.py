@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenquarry.workers import find_package
+
 #: Where scratch tables go when the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of rows in an Arrow batch.
@@ -22,12 +26,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hold what one Arrow batch brings to a Python worker to BATCH_BYTES, however long the texts are (a longer row comes alone)."""
+    find_package(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A generator that gives a worker's freed memory back to the machine when it ends: idle workers stay small."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return run
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads; a null text becomes the empty text."""
     bounded_batches(docs.sparkSession)

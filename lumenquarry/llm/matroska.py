@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenquarry.llm.common import id_and_text, slices
+from lumenquarry.llm.common import id_and_text, lean, slices
 
 # Fixed values of the format: element ids
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -249,6 +249,7 @@ def padded(raw: bytes) -> bytes:
 # columns
 
 
+@lean
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -264,6 +265,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 PACKETS = "track long, timestamp_ns long, start long, end long, cluster long, key boolean"
 
 
+@lean
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for one in slices(batch, SLICE_BYTES, "media"):
@@ -283,6 +285,7 @@ def packet_table(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(_packets, f"doc_id long, error string, {PACKETS}")
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for one in slices(batch, SLICE_BYTES, "media"):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import id_and_text, saved, slices
+from lumenquarry.llm.common import id_and_text, lean, saved, slices
 from lumenquarry.llm.tokenizer import default_encoding, safe_cuts
 
 CAPACITY, END_ID = 1024, 2
@@ -20,6 +20,7 @@ BATCH_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = default_encoding()
     for whole in batches:
@@ -115,6 +116,7 @@ def _places(plans: list[tuple[int, list[int]]], capacity: int) -> dict[str, np.n
     return {"key": (columns[0] << 48) + columns[1], "first": columns[1], "use": columns[2], "sequence": columns[3], "offset": columns[4]}
 
 
+@lean
 def _place(batches: Iterator[pa.RecordBatch], at: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenquarry.llm.common import bounded_batches, id_and_text, slices
+from lumenquarry.llm.common import bounded_batches, id_and_text, lean, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end (exclusive), in code points
@@ -386,6 +386,7 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
+@lean
 def _found(batches: Iterator[pa.RecordBatch], model: BiLstmCrf, redacted: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -415,6 +416,7 @@ def find_pii(docs: DataFrame, redacted: bool = False, examples: int = EXAMPLES,
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _found(it, model.value, redacted), schema)
 
 
+@lean
 def _rewritten(batches: Iterator[pa.RecordBatch], model: BiLstmCrf, text_col: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES, text_col):

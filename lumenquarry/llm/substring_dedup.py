@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import id_and_text, saved, slices
+from lumenquarry.llm.common import dropped, id_and_text, lean, saved, slices
 from lumenquarry.llm.words import Rolling, hashed_words
 
 LENGTH, GRAM = 50, 16
@@ -67,6 +67,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+@lean
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -98,6 +99,7 @@ def _windows(s: Segments, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(s.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum()), seg
 
 
+@lean
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -106,6 +108,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(s.anchor[seg].view(np.int64)), pa.array(s.rolling(window, length).view(np.int64)), batch.column("doc_id").take(pa.array(s.doc[seg]))], names=["anchor", "window", "doc_id"])
 
 
+@lean
 def _removals(batches: Iterator[pa.RecordBatch], length: int, with_text: bool, carried: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -169,6 +172,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     decided = differing.join(first.hint("shuffle_merge"), ["anchor", "segment"]).select("doc_id", "segment", (F.col("doc_id") > F.col("lo")).alias("whole"))
     marks = whole.unionByName(decided).groupBy("doc_id").agg(F.collect_set(F.when(F.col("whole"), F.col("segment"))).alias("wholes"), F.collect_set(F.when(~F.col("whole"), F.col("segment"))).alias("parts"))
     marks = saved(marks, "marks")
+    dropped(anchors, repeated, first)
     some = rows.join(marks.where(F.size("parts") > 0).select("doc_id", "parts").hint("shuffle_merge"), "doc_id")
     windows = some.mapInArrow(lambda it: _window_rows(it, length), "anchor long, window long, doc_id long")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")

@@ -9,13 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lumenquarry.llm.common import id_and_text, slices
+from lumenquarry.llm.common import id_and_text, lean, slices
 from lumenquarry.llm.tokenizer import default_encoding, safe_cuts
 
 #: Bytes of text that one batch of encoding holds at most (a longer text is a batch of its own, cut at safe places).
 BATCH_BYTES = 4 << 20
 
 
+@lean
 def _lengths(batches: Iterator[pa.RecordBatch], limit: int, batch_bytes: int) -> Iterator[pa.RecordBatch]:
     enc = default_encoding()
     for whole in batches:

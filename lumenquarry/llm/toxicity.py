@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import id_and_text, slices
+from lumenquarry.llm.common import id_and_text, lean, slices
 from lumenquarry.llm.words import U, _bytes_powers, mixed
 
 #: Features: letters' runs of a text, lower-cased, and their first STEM bytes, hashed to BITS bits.
@@ -63,10 +63,11 @@ class OrdinalModel:
         cuts = np.arange(1, k + 1) * 2.0
         if not len(rows) or not (grades > 0).any() or (grades > 0).all():
             return OrdinalModel(np.zeros(1 << BITS), np.full(k, 20.0) + np.arange(k))
-        owner, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-        names, column, df = np.unique(feature, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        names, column, df = np.unique(np.concatenate(rows).astype(np.int32), return_inverse=True, return_counts=True)
+        column = column.astype(np.int32)  # half the driver's memory
         keep = (df >= 3)[column]
-        owner, column = owner[keep], (np.cumsum(df >= 3) - 1)[column[keep]]
+        owner, column = owner[keep], (np.cumsum(df >= 3) - 1).astype(np.int32)[column[keep]]
         names = names[df >= 3]
         scale = np.full(len(owner), SCALE)
         weights, n = np.zeros(len(names)), len(rows)
@@ -104,6 +105,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts, -30, 30)))
 
 
+@lean
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -114,6 +116,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), features], names=["doc_id", "grade", "features"])
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
@@ -156,6 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _scored(it, model.value), "doc_id long, expected_severity double, grade int, toxic_probability double, toxic boolean")
 
 
+@lean
 def _clean(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_col: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES, text_col):
