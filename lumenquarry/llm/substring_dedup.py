@@ -22,7 +22,7 @@ from lumenquarry.llm.common import dropped, id_and_text, lean, saved, slices
 from lumenquarry.llm.words import Rolling, hashed_words
 
 LENGTH, GRAM = 50, 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: In a packed (hash, index) pair, the bits of the index.
 INDEX_BITS = 28
 

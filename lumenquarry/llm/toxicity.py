@@ -20,7 +20,7 @@ SAMPLE = 3000
 GRADES = 3
 #: Value of a feature that occurs.
 SCALE = 0.1
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
