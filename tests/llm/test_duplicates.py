@@ -137,6 +137,23 @@ def test_tree_join_finds_what_comparing_all_pairs_finds():
         assert {frozenset(i for i in range(len(sets)) if root(i) == r) for r in {root(i) for i in range(len(sets))}} == want
 
 
+def test_tree_join_of_single_sets():
+    import numpy as np
+
+    a, b, c = (np.arange(x, x + 100, dtype=np.uint64) for x in (0, 10, 60))
+    assert J.tree_join([a], [b], 3, 4) == [(0, 1)]
+    assert J.tree_join([a], [c], 3, 4) == [] and J.tree_join([a], None, 3, 4) == []
+    assert J.tree_join([a], [c, b], 3, 4) == [(0, 2)]
+
+
+def test_linked_long_texts_in_nodes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(J, "NODE_TOKENS", 300)  # each text fills a node
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:390])), (3, " ".join(base[:300])), (4, " ".join(f"v{i}" for i in range(400)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(table).collect())) == groups_by_force(rows)
+
+
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
