@@ -23,6 +23,8 @@ TRIGGER, REACH = re.compile("[0-9@]"), 24
 WINDOW, STRIDE, HIDDEN = 48, 24, 16
 #: Training: labelled windows, passes over them, windows in a step, seed; least mean probability of an added span.
 EXAMPLES, PASSES, BATCH, SEED, SURE = 3000, 6, 100, 20, 0.9
+#: Share of labelled numbers that have another value beside them.
+BESIDE = 0.7
 
 # base patterns
 
@@ -90,38 +92,47 @@ def codes(text: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _example(rng: random.Random) -> tuple[str, int, int, int]:
-    """A text with one span (text, kind, start, end), or with something alike that is none (kind -1)."""
+def _example(rng: random.Random) -> tuple[str, list[Span]]:
+    """A text and its spans: one, two beside each other, or something alike that is none."""
     letters, accents = "abcdefghijklmnopqrstuvwxyz", "äöüéèçñíó"
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda a=1, b=11: "".join(rng.choice(letters if rng.random() < 0.93 else accents) for _ in range(rng.randint(a, b)))
     ascii_ = lambda a=2, b=9: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
-    kind = rng.choice([0, 1, 2, 3, 3, -1, -1, -1])
-    if kind == 0:
-        local = ascii_() + rng.choice(["", ".", "_", "+"]) + rng.choice(["", ascii_(1, 5), digits(2)])
-        local = local.rstrip("._+") or "a"
-        gap = rng.choice(["", "", " "])
-        core = f"{local}{gap}@{gap}{ascii_()}{rng.choice(['', digits(1)])}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}"
-    elif kind == 1:
-        core = rng.choice([".", ".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
-    elif kind == 2:
-        parts = [digits(4) for _ in range(4)]
-        core = rng.choice(["", " ", "-", ".", "/"]).join(parts)
-    elif kind == 3:
-        a, b, c = digits(3), digits(3), digits(4)
-        core = rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}"])
-    else:
-        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40)))
-        core = rng.choice([f"password={hexes}", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), f'"{hexes}"', f"version {digits(1)}.", f"{digits(1)}.{digits(1)}", digits(rng.randint(1, 8)), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{word()}{digits(3)}", f"@{word()}", f"{digits(2)}:{digits(2)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"1.{digits(1)}.{digits(2)}", word()])
-    text = ""
+
+    def value(kind: int) -> str:
+        if kind == 0:
+            local = ascii_() + rng.choice(["", ".", "_", "+"]) + rng.choice(["", ascii_(1, 5), digits(2)])
+            local = local.rstrip("._+") or "a"
+            gap = rng.choice(["", "", " "])
+            core = f"{local}{gap}@{gap}{ascii_()}{rng.choice(['', digits(1)])}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}"
+        elif kind == 1:
+            core = rng.choice([".", ".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
+        elif kind == 2:
+            parts = [digits(4) for _ in range(4)]
+            core = rng.choice(["", " ", "-", ".", "/"]).join(parts)
+        elif kind == 3:
+            a, b, c = digits(3), digits(3), digits(4)
+            core = rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({a}){b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}"])
+        else:
+            hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40)))
+            core = rng.choice([f"password={hexes}", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), f'"{hexes}"', f"version {digits(1)}.", f"{digits(1)}.{digits(1)}", digits(rng.randint(1, 8)), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{word()}{digits(3)}", f"@{word()}", f"{digits(2)}:{digits(2)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"1.{digits(1)}.{digits(2)}", word()])
+        return core
+
+    kinds = [rng.choice([0, 1, 2, 3, 3, -1, -1, -1])]
+    if kinds[0] > 0 and rng.random() < BESIDE:
+        kinds.append(rng.choice([kinds[0], rng.randint(0, 3)]))
+    text, spans = "", []
     while len(text) < rng.randint(0, 40):
         text += word() + rng.choice([" ", " ", " ", ", ", ". ", ".\n"])
-    start, end = len(text), len(text) + len(core)
-    text += core + rng.choice(["", " ", ".", ", ", ".\n"])
-    if text[-1] in " \n" or kind != 2:
+    for i, kind in enumerate(kinds):
+        text += rng.choice([" ", " ", ", ", "\n"]) if i else ""
+        spans.append((len(text), kind, len(text) + len(core := value(kind))))
+        text += core
+    text += rng.choice(["", " ", ".", ", ", ".\n"])
+    if text[-1] in " \n" or kinds[-1] != 2:
         while len(text) < WINDOW + 20:
             text += " " + word()
-    return text, kind, start, end
+    return text, spans
 
 
 def labelled(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +140,13 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
     rng = random.Random(seed)
     x, y = np.full((n, WINDOW), CHARS - 1), np.zeros((n, WINDOW), np.int64)
     for i in range(n):
-        text, kind, start, end = _example(rng)
+        text, spans = _example(rng)
         tags = np.zeros(len(text), np.int64)
-        if kind >= 0:
-            tags[start] = 1 + 2 * kind
-            tags[start + 1 : end] = 2 + 2 * kind
+        for start, kind, end in spans:
+            if kind >= 0:
+                tags[start] = 1 + 2 * kind
+                tags[start + 1 : end] = 2 + 2 * kind
+        start = rng.choice(spans)[0]
         a = rng.randint(max(0, start - WINDOW + 8), max(0, min(start, len(text) - WINDOW)) + 4)
         part = codes(text)[a : a + WINDOW]
         x[i, : len(part)] = part
@@ -312,11 +325,75 @@ def _plausible(kind: int, text: str) -> bool:
     return _is_card(text) if kind == 2 else 10 <= len(_DIGITS.findall(text)) <= 15
 
 
+_PARTS = {0: re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?@\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), 1: re.compile(r"(?<![0-9])[0-9]++(?:\s?\.\s?[0-9]++){3}")}
+_INSIDE, _OF_NUMBERS = re.compile("[A-Za-z0-9_]"), frozenset("0123456789+()./- \t\r\n")
+_NUMBER = re.compile(r"\+?\(?[0-9]+\)?")
+#: A phone number that is cut out of more has a sign of one: + or ( first, no space inside, or groups of 3, 3 and 4.
+_PHONE_PART = re.compile(r"[+(].*|\S+|(?:1\s)?[0-9]{3}\s[0-9]{3}\s[0-9]{4}", re.DOTALL)
+
+
+def _parts(kind: int, text: str) -> list[tuple[int, int]]:
+    """The longest plausible parts of a proposal, cut at separators: of all choices the one that covers most, in the fewest parts.
+
+    Numbers are runs of digits with their + and brackets; those of one part are at most 3 characters
+    apart. A part has at most 19 digits, so each number is tried with a bounded number of others.
+    """
+    if kind < 2:
+        return [m.span() for m in _PARTS[kind].finditer(text) if _plausible(kind, m[0])]
+    at = [m.span() for m in _NUMBER.finditer(text)]
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(at) + 1)  # from each number on: characters covered, minus parts, end of the part that begins here
+    for i in range(len(at) - 1, -1, -1):
+        best[i] = (*best[i + 1][:2], 0)
+        digits = 0
+        for j in range(i, len(at)):
+            a, b = at[i][0], at[j][1]
+            digits += len(_DIGITS.findall(text[at[j][0] : b]))
+            if digits > 19 or (j > i and at[j][0] - at[j - 1][1] > 3):
+                break
+            if _plausible(kind, text[a:b]) and (kind == 2 or _PHONE_PART.fullmatch(text[a:b])):
+                best[i] = max(best[i], (best[j + 1][0] + b - a, best[j + 1][1] - 1, j + 1))
+    out, i = [], 0
+    while i < len(at):
+        if best[i][2]:
+            out.append((at[i][0], at[best[i][2] - 1][1]))
+        i = best[i][2] or i + 1
+    return out
+
+
+def _cut(kind: int, text: str, start: int, end: int, found: list[Span], low: int, high: int) -> list[tuple[int, int]]:
+    """What is plausible of a proposal, free of base spans: all of it, or else parts of the numbers around it.
+
+    A proposal often begins or ends inside a number where values are next to each other, so numbers are
+    taken whole: it grows over digits and separators, by 2 * WINDOW and to low and high at most.
+    """
+
+    def alone(a: int, b: int) -> bool:
+        return not (_INSIDE.match(text[a]) and a and _INSIDE.match(text[a - 1])) and not (b < len(text) and _INSIDE.match(text[b]))
+
+    while end > start and text[end - 1] in " \t\n.,-/":
+        end -= 1
+    if end > start and all(end <= c or d <= start for c, _, d in found) and _plausible(kind, text[start:end]) and (kind == 0 or alone(start, end)):
+        return [(start, end)]
+    if kind:
+        low, high = max(low, start - 2 * WINDOW), min(high, end + 2 * WINDOW)
+        while start > low and text[start - 1] in _OF_NUMBERS:
+            start -= 1
+        while end < high and text[end] in _OF_NUMBERS:
+            end += 1
+    out = []
+    for c, d in [*((a, b) for a, _, b in found if a < end and b > start), (end, end)]:
+        if c > start:
+            out += [(start + x, start + y) for x, y in _parts(kind, text[start:c]) if kind == 0 or alone(start + x, start + y)]
+        start = max(start, d)
+    return out
+
+
 def model_spans(model: BiLstmCrf, texts: list[str], found: list[list[Span]]) -> list[list[Span]]:
     """Spans that the model adds to those found.
 
     Windows overlap by half. A character's emissions and marginals are the mean over its windows,
     weighted by the distance from the window's edge; each region is decoded once over its whole length.
+    A proposal that is not plausible as a whole, or touches a base span, is cut into its plausible parts.
     """
     places = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
     added: list[list[Span]] = [[] for _ in texts]
@@ -338,7 +415,7 @@ def model_spans(model: BiLstmCrf, texts: list[str], found: list[list[Span]]) ->
         to = (offset[owner[a : a + 2048]] + at[a : a + 2048])[:, None] + np.arange(WINDOW)
         np.add.at(total, to, e * weight[:, None])
         np.add.at(odds, to, model.marginals(e) * weight[:, None])
-        np.add.at(mass, to, weight)
+        np.add.at(mass, to, np.broadcast_to(weight, to.shape))  # of a single row of weights, add.at reads past the end
     total /= np.maximum(mass, 1e-9)[:, None]
     odds /= np.maximum(mass, 1e-9)[:, None]
     lengths = np.array([len(p) for p in parts])
@@ -358,17 +435,14 @@ def model_spans(model: BiLstmCrf, texts: list[str], found: list[list[Span]]) ->
         for r, p in enumerate(some):
             i, base, _ = places[p]
             row = tags[r, : lengths[p]]
-            sure = odds[offset[p] + np.arange(len(row)), row]
+            sure = 1 - odds[offset[p] : offset[p] + len(row), 0]  # of any kind: where values are next to each other the form tells which
             for s in np.flatnonzero(row % 2 == 1).tolist():
                 kind, f = (int(row[s]) - 1) // 2, s + 1
                 while f < len(row) and row[f] == 2 + 2 * kind:
                     f += 1
-                x, y = base + s, base + f
-                while y > x and texts[i][y - 1] in " \t\n.,-/":
-                    y -= 1
-                free = all(y <= c or d <= x for c, _, d in found[i])
-                if y > x and free and sure[s:f].mean() >= SURE and _plausible(kind, texts[i][x:y]):
-                    added[i].append((x, kind, y))
+                for x, y in _cut(kind, texts[i], base + s, base + f, found[i], base, base + len(row)):
+                    if sure[x - base : y - base].mean() >= SURE and all(y <= c or d <= x for c, _, d in added[i]):
+                        added[i].append((x, kind, y))
     return added
 
 

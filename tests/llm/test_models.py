@@ -64,6 +64,40 @@ def test_pii_rows(spark):
     assert got[0].spans == "" and got[2].spans == ""
 
 
+BESIDE = [
+    ("mentle çre. Éçan 7536784127813050 4845168114407329 èaique tre oile", ["7536784127813050", "4845168114407329"]),
+    ("ramiar, 4465758382889437 4465758382889437 ójaga para", ["4465758382889437", "4465758382889437"]),
+    ("Esanwh 2353820953013749 4550997810720808 thheed hand", ["4550997810720808"]),
+    ("éreé. Des +1 (826) 555-4081 190.137.223.204 du anviou", ["+1 (826) 555-4081", "190.137.223.204"]),
+    ("éaiépa un. +1 (843) 555-7672 170.106.47.218 Et, éan", ["+1 (843) 555-7672", "170.106.47.218"]),
+]
+
+
+def test_values_beside_each_other_are_found(spark):
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BESIDE)], "doc_id long, text string")
+    for r in P.find_pii(table, redacted=True).collect():
+        text, want = BESIDE[r.doc_id]
+        spans = sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(","))
+        assert [text[a:b] for a, b in spans] == want
+        assert not any(w in r.redacted for w in want)
+
+
+def test_proposals_are_cut_at_base_spans_and_separators():
+    text = "4111111111111111, 4465758382889437/5500000000000004 10.0.0.1 +1 (826) 555-4081"
+    base = [s for s in P.base_spans(text) if s[1] == 1]
+    cut = lambda kind, a, b: [text[x:y] for x, y in P._cut(kind, text, a, b, base, 0, len(text))]
+    assert cut(2, 3, 40) == ["4111111111111111", "4465758382889437", "5500000000000004"]
+    assert cut(3, 55, len(text)) == ["+1 (826) 555-4081"]
+    assert P._parts(3, "555-123-4567 555-123-4568") == [(0, 12), (13, 25)]
+    assert P._parts(2, "1234567890123456 7") == [] and P._cut(3, "token dafbac99949115180e7", 12, 23, [], 0, 25) == []
+
+
+def test_model_spans_do_not_depend_on_what_ran_before():
+    texts = [t for t, _ in BESIDE]
+    runs = [P.model_spans(P.trained(), texts, [P.base_spans(t) for t in texts]) for _ in range(5)]
+    assert all(r == runs[0] for r in runs) and sum(map(len, runs[0])) == 7
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bad, good = ["vilest", "grubby", "odious"], [f"word{i}" for i in range(200)]
