@@ -154,6 +154,22 @@ def test_lm_is_a_distribution_and_beats_unigrams(spark):
     assert H.score_texts(table.limit(0)).count() == 0
 
 
+def test_lm_context_is_the_word_before(spark):
+    rng = random.Random(8)  # all words are of one length: only the word before tells the next
+    after = {"aaa": "bbb", "bbb": "ccc", "ccc": "ddd", "ddd": "aaa"}
+    rows = []
+    for i in range(80):
+        w = [rng.choice(list(after))]
+        while len(w) < 40:
+            w.append(after[w[-1]])
+        rows.append((i, " ".join(w)))
+    odd = [(1000 + i, " ".join(rng.choice(list(after)) for _ in range(40))) for i in range(40)]
+    odd = [r for r in odd if zlib.crc32(str(r[0]).encode()) % H.FOLDS == H.HELD_OUT]
+    got = H.score_texts(spark.createDataFrame(rows + odd, "doc_id long, text string")).where("held_out").collect()
+    chain, mixed = [r.perplexity for r in got if r.doc_id < 1000], [r.perplexity for r in got if r.doc_id >= 1000]
+    assert chain and mixed and max(chain) < 1.6 and min(mixed) > 3 * max(chain)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 24)).astype(np.float32)
