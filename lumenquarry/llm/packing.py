@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenquarry.llm.common import id_and_text, lean, saved, slices
-from lumenquarry.llm.tokenizer import default_encoding, safe_cuts
+from lumenquarry.llm.tokenizer import default_encoding, encode_batch
 
 CAPACITY, END_ID = 1024, 2
 #: Rows that a (length, salt) group of ranks holds on average at most, and the least number of salts.
 SALT_ROWS, LEAST_SALTS = 1_000_000, 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -26,11 +27,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, with_
     for whole in batches:
         for batch in slices(whole, BATCH_BYTES):
             doc, piece, start, length, crc, ids_out = [], [], [], [], [], []
-            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids: list[int] = []
-                for part in safe_cuts(text):
-                    ids += enc.encode(part, allowed_special="all")
-                ids.append(end_id)
+            for d, parts in zip(batch.column("doc_id").to_pylist(), encode_batch(enc, batch.column("text").to_pylist()), strict=True):
+                ids = [*chain.from_iterable(parts), end_id]
                 raw = memoryview(np.array(ids, "<u4").tobytes())
                 # the first piece takes what is over, so that all others are whole sequences
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
@@ -46,7 +44,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, with_
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, add end_id, cut what is over capacity; with_ids keeps the ids themselves."""
+    """Encode each text, add end_id, cut what is over capacity; with_ids keeps the ids themselves.
+
+    Null or empty text: one piece of one token. Null ids and repeated rows stay; an empty table gives an
+    empty table; other columns are not read.
+    """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _pieces(it, capacity, end_id, with_ids), schema)
 

@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lumenquarry.llm.common import id_and_text, lean, slices
-from lumenquarry.llm.tokenizer import default_encoding, safe_cuts
+from lumenquarry.llm.tokenizer import default_encoding, encode_batch
 
 #: Bytes of text that one batch of encoding holds at most (a longer text is a batch of its own, cut at safe places).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 @lean
@@ -21,8 +21,8 @@ def _lengths(batches: Iterator[pa.RecordBatch], limit: int, batch_bytes: int) ->
     enc = default_encoding()
     for whole in batches:
         for batch in slices(whole, batch_bytes):
-            texts = batch.column("text").to_pylist()
-            counts = np.fromiter((sum(len(enc.encode(part, allowed_special="all")) for part in safe_cuts(t)) for t in texts), np.int64, len(texts))
+            ids = encode_batch(enc, batch.column("text").to_pylist())
+            counts = np.fromiter((sum(map(len, parts)) for parts in ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.binary_length(batch.column("text")).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

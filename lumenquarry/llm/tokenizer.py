@@ -7,6 +7,8 @@ faster, and tests compare the two on every code point and on whole documents.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import tiktoken
@@ -14,6 +16,8 @@ import tiktoken
 SPECIAL = {"<|endoftext|>": 50256}
 #: Characters above which a text is encoded in parts.
 PART_CHARS = 1 << 16
+#: Runs of white space (as the split pattern has it) that are encoded by themselves: its engine backtracks over each character of a run, and gives up at about a million.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{16384,}")
 
 
 @lru_cache(maxsize=4)
@@ -55,3 +59,27 @@ def safe_cuts(text: str, size: int = PART_CHARS) -> list[str]:
         start = at
     parts.append(text[start:])
     return parts
+
+
+def parts_of(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text whose tokens, joined, are its own; True marks one that is a single match of the pattern.
+
+    Of a run of white space the pattern takes all but the last character as one match, or the whole run
+    at the end of the text; what follows begins with that last character.
+    """
+    start = 0
+    if len(text) > PART_CHARS:
+        for m in LONG_SPACE.finditer(text):
+            if m.start() > start:
+                yield from ((p, False) for p in safe_cuts(text[start : m.start()]))
+            start = m.end() if m.end() == len(text) else m.end() - 1
+            yield text[m.start() : start], True
+    if start < len(text):
+        yield from ((p, False) for p in safe_cuts(text[start:] if start else text))
+
+
+def encode_batch(enc: tiktoken.Encoding, texts: list[str]) -> list[list[list[int]]]:
+    """Token ids of the parts of each text, encoded as one batch; a special string is its token."""
+    parts = [list(parts_of(t)) for t in texts]
+    plain = iter(enc.encode_batch([p for some in parts for p, single in some if not single], num_threads=1, allowed_special="all"))
+    return [[enc._encode_single_piece(p) if single else next(plain) for p, single in some] for some in parts]

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from lumenquarry.llm import tokenizer
 from lumenquarry.llm.bpe import _default, bpe_decode, bpe_encode, bpe_round_trip
 from lumenquarry.llm.packing import pack_documents, plan_bins
 from lumenquarry.llm.token_counts import token_counts
@@ -44,6 +46,28 @@ def test_cuts_change_no_token():
         assert [t for p in parts for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_long_white_space(spark, library):
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x " + " \n" * 700_000 + "y", "q" + "\xa0" * 900_000 + "\xa0r"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_tokens for r in token_counts(table).orderBy("doc_id").collect()] == [len(w) for w in want]
+    got = {}
+    for r in pack_documents(table).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, ids in enumerate(want):
+        raw = np.array([*ids, 2], "<u4").tobytes()
+        assert all(zlib.crc32(raw[4 * a : 4 * (a + n)]) == c for a, n, c in got[i]) and sum(n for _, n, _ in got[i]) == len(ids) + 1
+
+
+def test_runs_of_white_space_are_cut_without_a_change(library, monkeypatch):
+    monkeypatch.setattr(tokenizer, "LONG_SPACE", re.compile(tokenizer.LONG_SPACE.pattern.replace("16384", "4")))
+    monkeypatch.setattr(tokenizer, "PART_CHARS", 20)
+    rng, enc = random.Random(4), default_encoding()
+    texts = ["".join(rng.choice([" ", "    ", "\n\n", "a", "bc", "1", "!", "'s", "é", "\xa0\xa0", "\x1c", "\u3000" * 3]) for _ in range(60)) for _ in range(2000)]
+    for t, parts in zip(texts, tokenizer.encode_batch(enc, texts), strict=True):
+        assert [i for p in parts for i in p] == library.encode(t, add_special_tokens=False).ids
+
+
 def test_counts(table, library):
     got = sorted(map(tuple, token_counts(table).collect()))
     want = [(i % 9, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in enumerate(TEXTS + TEXTS[:4])]
@@ -77,6 +101,10 @@ def test_packing(spark, table, library):
         places.sort()
         ends = np.cumsum([0, *(n for _, n in places)])
         assert [o for o, _ in places] == ends[:-1].tolist() and ends[-1] <= 1024
+    for i, t in enumerate(TEXTS + TEXTS[:4]):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert any(list(r.ids) == ids[r.start : r.start + r.length] for r in rows if r.doc_id == i % 9)
+    assert {tuple(r.ids) for r in rows} <= {tuple(ids[a : a + n]) for t in TEXTS for ids in [[*library.encode(t or "", add_special_tokens=False).ids, 2]] for a, n in [(0, len(ids) % 1024 or 1024), *((s, 1024) for s in range(len(ids) % 1024, len(ids), 1024))]}
     total = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in TEXTS + TEXTS[:4])
     assert sum(r.length for r in rows) == total
     assert len(by_sequence) <= -(-total // 1024) + 1
