@@ -45,7 +45,7 @@ def luhn(digits: str) -> bool:
 
 
 def _is_ip(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in text.split("."))
 
 
 def _is_card(text: str) -> bool:
