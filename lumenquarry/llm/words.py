@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 #: What separates words: space and the controls from tab to carriage return (what bytes.split() splits at).
 SPACES = b" \t\n\v\f\r"
+#: Longer words are hashed by xxHash: modulo 2**64 a polynomial of any odd base maps some texts of 1024 bytes to one value.
+POLYNOMIAL_BYTES = 32
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -57,6 +60,9 @@ def measured_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray,
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_table(lower)[buf] * up[: len(buf)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        word = buf[starts[i] : ends[i]].tobytes()
+        hashes[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
     return hashes, ends - starts, np.diff(np.searchsorted(starts, ends_of_texts), prepend=0)
 
 
@@ -66,7 +72,7 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
 
 
 class Rolling:
-    """Rabin-Karp hashes of runs of hashed words, from one prefix sum."""
+    """Rabin-Karp hashes of runs of hashed words, from one prefix sum (of up to 100 words or so: see POLYNOMIAL_BYTES)."""
 
     def __init__(self, hashes: np.ndarray):
         self.n = len(hashes)

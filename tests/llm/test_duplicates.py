@@ -8,6 +8,7 @@ import pytest
 import lumenquarry.llm.jaccard_join as J
 from lumenquarry.llm.graph import components
 from lumenquarry.llm.substring_dedup import substring_dedup
+from lumenquarry.llm.words import hashed_words
 
 
 def words(text):
@@ -159,3 +160,12 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 130)} | {i: 200 for i in (200, 201, 202)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_words_built_to_collide_differ():
+    """Polynomials modulo 2**64 give texts of the Thue-Morse sequence and its complement one value, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    words = [one[:n] for n in (32, 64, 1024, 2048)]
+    hashes, counts = hashed_words([w.encode() for w in words] + [w.translate(str.maketrans("ab", "ba")).encode() for w in words])
+    assert len(set(hashes.tolist())) == 8 and counts.tolist() == [1] * 8
+    assert (hashed_words([(one.upper() + " Ab").encode()], lower=True)[0] == hashed_words([(one + " ab").encode()])[0]).all()
