@@ -9,7 +9,7 @@ import pytest
 
 import lumenquarry.llm.hpylm as H
 from lumenquarry.llm import pii as P
-from lumenquarry.llm.ann import nearest
+from lumenquarry.llm.ann import CrossPolytope, nearest
 from lumenquarry.llm.toxicity import drop_toxic, toxicity
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -52,6 +52,11 @@ def test_gradients_and_held_out_accuracy():
     assert (tags == y).mean() > 0.97
 
 
+def test_long_runs_of_digits():
+    assert P.base_spans("0" * 5000 + "1.2.3.4") == pii_by_force("0" * 100 + "1.2.3.4")[:0] + [(0, 1, 5007)]
+    assert P.base_spans("1" * 5000 + ".2.3.4") == []
+
+
 def test_pii_rows(spark):
     texts = [None, "", "no data here", "mail a.b@x.org, call (507) 555-2257 now", "ip 10.0.0.1 ip 10.0.0.999", "4111 1111 1111 1111", "é@é " + "x" * 3_000 + " q@w.de"]
     table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(1, "", "")], "doc_id long, text string, spans string")
@@ -190,3 +195,34 @@ def test_nearest(spark):
     assert hits >= 0.9 * total
     assert {r.query_id for r in got} == set(range(0, 900, 50))
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_scaled_copies_tie_and_few_rows_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16)
+    rows = [(i, (v * (1 + i * 0.37)).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(700)]
+    rows += [(3000, [1.0, 0.0]), (3001, [0.0, 1.0]), (3002, [-1.0, 0.0]), (4000, [5e-200, 0.0, 0.0]), (4001, [1e200, 1e200, 0.0])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [x for _, x, _ in sorted(got[0])] == [1, 2, 3, 4, 5] and all(s == 1.0 for *_, s in got[0])
+    assert [x for _, x, _ in sorted(got[350])] == [0, 1, 2, 3, 4]
+    assert sorted(got[3000]) == [(1, 3001, 0.0), (2, 3002, -1.0)]
+    assert [(r, x) for r, x, _ in got[4000]] == [(1, 4001)] and abs(got[4000][0][2] - 0.5**0.5) < 1e-15
+
+
+def test_more_hashes_in_a_table(spark):
+    """Many classes for their length: three hashes a table, the last of a few axes."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8))
+    assert len(CrossPolytope(8, len(x), 2, 1).axes) == 3
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 5 * 60
