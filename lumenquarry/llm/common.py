@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenquarry.workers import find_package
 
-#: Where scratch tables go when the session names no shared folder (tests).
+#: Where scratch tables go when the session names no shared folder: in local mode only (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of rows in an Arrow batch.
 BATCH_BYTES = 4 << 20
@@ -66,14 +66,16 @@ def scratch_dir(spark: SparkSession) -> str:
         found = spark.sparkContext.getCheckpointDir()
         root = found or LOCAL_CHECKPOINTS
         if not found:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/lumenquarry-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lineage ends, and any executor can read it again."""
+def saved(df: DataFrame, name: str = "part", by: str | None = None) -> DataFrame:
+    """Write df to a table in the shared folder and read it back: lineage ends, and any executor can read it again. by: a column with a folder for each value."""
     path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back

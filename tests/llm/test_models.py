@@ -143,20 +143,132 @@ def test_lm_scores(spark, hot):
     assert all(r.score < 0 for r in got)
 
 
-def test_lm_is_a_distribution_and_beats_unigrams(spark):
+def test_seats_have_the_distribution_of_the_process():
+    """After some sweeps the share of k tables for n customers is that of all seatings, weighed one by one."""
+    new, d = 1.3, 0.4
+
+    def seatings(n):  # sizes of tables, as customers come one after another
+        out = {(): 1.0}
+        for _ in range(n):
+            more = Counter()
+            for sizes, w in out.items():
+                more[(*sizes, 1)] += w * new
+                for i, size in enumerate(sizes):
+                    more[(*sizes[:i], size + 1, *sizes[i + 1 :])] += w * (size - d)
+            out = more
+        return out
+
+    for n in (2, 3, 5, 24):
+        s = H.Seating(np.full(20_000, n), np.full(20_000, new), d, np.random.default_rng(3))
+        for _ in range(6):
+            s.sweep()
+        tables = s.sample()
+        assert (np.add.reduceat(s.size, s.at) == n).all() and ((s.size > 0) == (np.arange(len(s.size)) - np.repeat(s.at, s.room) < np.repeat(s.tables, s.room))).all()
+        if n > 5:
+            continue
+        want, total = Counter(), 0.0
+        for sizes, w in seatings(n).items():
+            want[len(sizes)] += w
+            total += w
+        for k in range(1, n + 1):
+            assert abs((tables == k).mean() - want[k] / total) < 0.015
+
+
+class PlainSampler:
+    """The model as it is written down: every customer of both levels, seated one at a time."""
+
+    def __init__(self, docs, d, above, seed):
+        self.d, self.above, self.rng = d, above, random.Random(seed)
+        self.below, self.root = {}, {}
+        self.tokens = [(p, w) for t in docs for p, w in zip([None, *t[:-1]], t, strict=True)]
+        self.v = len({w for _, w in self.tokens})
+
+    def parent(self, w):
+        mine, all_tables = self.root.get(w, []), sum(map(len, self.root.values()))
+        return (sum(mine) - self.above * len(mine) + (H.STRENGTH + self.above * all_tables) / (self.v + 1)) / (H.STRENGTH + sum(map(sum, self.root.values())))
+
+    def chance(self, p, w):
+        here = self.below.get(p, {})
+        mine, tables, guests = here.get(w, []), sum(map(len, here.values())), sum(map(sum, here.values()))
+        return (sum(mine) - self.d * len(mine) + (H.STRENGTH + self.d * tables) * self.parent(w)) / (H.STRENGTH + guests)
+
+    def sit(self, tables, new, d):
+        at = self.rng.choices(range(len(tables) + 1), [*(x - d for x in tables), new])[0]
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(self, tables):
+        at = self.rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+        return False
+
+    def add(self, p, w):
+        here = self.below.setdefault(p, {})
+        if self.sit(here.setdefault(w, []), (H.STRENGTH + self.d * sum(map(len, here.values()))) * self.parent(w), self.d):
+            self.sit(self.root.setdefault(w, []), (H.STRENGTH + self.above * sum(map(len, self.root.values()))) / (self.v + 1), self.above)
+
+    def remove(self, p, w):
+        if self.leave(self.below[p][w]):
+            self.leave(self.root[w])
+
+
+def test_lm_scores_are_those_of_a_plain_sampler(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(x for _ in range(30) for x in (rng.choice(["to", "of"]), rng.choice(["house", "tree", "water", "stone"])))) for i in range(80)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    model = H.fit(table)
-    m, s = model.table.toPandas(), model.sizes
-    parent, unknown = s.root(m.root.to_numpy()), s.root(np.zeros(1))[0]
-    assert abs(parent.sum() + unknown - 1) < 1e-9
-    for u in np.flatnonzero(s.customers):
-        seated = np.array([dict(zip(a, b, strict=True)).get(u, 0.0) for a, b in zip(m.contexts, m.seated, strict=True)])
-        assert abs((seated * model.scale[u] + parent * model.back[u]).sum() + unknown * model.back[u] - 1) < 1e-9
-    held = H.score_texts(table).where("held_out").groupBy().sum("score", "base_score").first()
-    assert held[0] > held[1]
-    assert H.score_texts(table.limit(0)).count() == 0
+    texts = ["".join(f"{rng.choice(['to', 'of', 'the'])} {rng.choice(['house', 'tree', 'water', 'stone', f'w{rng.randint(0, 40)}'])} " for _ in range(12)) for _ in range(70)]
+    toks = [[*t.split(), ""] for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    pairs = Counter((p, w) for t, ok in zip(toks, train, strict=True) if ok for p, w in zip([None, *t[:-1]], t, strict=True))
+    on = Counter(w for _, w in pairs)
+    count = lambda c, n: sum(x == n for x in c.values())
+    plain = PlainSampler([t for t, ok in zip(toks, train, strict=True) if ok], H._discount(count(pairs, 1), count(pairs, 2)), H._discount(count(on, 1), count(on, 2)), 1)
+    for p, w in plain.tokens:
+        plain.add(p, w)
+    chances = [Counter() for _ in texts]
+    for sweep in range(14):
+        for p, w in plain.tokens:
+            plain.remove(p, w)
+            plain.add(p, w)
+        for i, t in enumerate(toks if sweep >= 4 else []):
+            for j, (p, w) in enumerate(zip([None, *t[:-1]], t, strict=True)):
+                chances[i][j] += plain.chance(p, w) / 10
+    got = H.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [sum(map(math.log10, c.values())) for c in chances]
+    assert all(abs(r.score - want[r.doc_id]) < 0.03 * abs(want[r.doc_id]) for r in got)
+    assert abs(sum(r.score for r in got) / sum(want) - 1) < 0.01
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert H.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lm_is_a_distribution():
+    rng = np.random.default_rng(4)
+    n = rng.poisson(1.5, (6, 40))  # contexts, words
+    n[:, n.sum(0) == 0] = 1
+    tables = H.Seating(n.ravel(), np.full(n.size, 0.7), 0.6, rng).sample().reshape(n.shape)
+    on = tables.sum(0)
+    rooted = H._parent_tables(on, (0.5, float(on.sum()), 40.0, 1 / 41), 1)
+    above = (0.5, float(on.sum()), float(rooted.sum()), 1 / 41)
+    parent, unknown = H.in_parent(on, rooted, above), H.in_parent(np.zeros(1), np.zeros(1), above)
+    assert abs(parent.sum() + unknown[0] - 1) < 1e-12
+    model = H.PitmanYor(H.HotWords(np.arange(40)), on, 1, 40, 0.6, None, None, [above])
+    for c in range(6):
+        one = lambda x: np.asarray(x, float)[None]
+        p = model.probability(n[c], one(tables[c]), n[c].sum(), tables[c].sum(), one(parent))
+        rest = model.probability(np.zeros(1), np.zeros((1, 1)), n[c].sum(), tables[c].sum(), one(unknown))
+        assert abs(p.sum() + rest[0] - 1) < 1e-12
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    for high in (1, 200, 70_000, 1 << 33, 1 << 62):
+        for n in (0, 1, 1000):
+            a = rng.integers(0, high, n)
+            assert (H.unpacked(H.packed(a)) == a).all()
 
 
 def test_lm_context_is_the_word_before(spark):
