@@ -22,8 +22,8 @@ from lumenquarry.llm.common import bounded_batches, dropped, lean, saved
 TABLES, ROUNDS, SEED = 16, 3, 11
 #: A table has a bucket for so many classes or fewer; the number of probes is the square root of that of the buckets.
 ROWS_A_BUCKET, LEAST_PROBES = 4, 8
-#: Rows of a block at most (on average), and bytes of its vectors.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 22
+#: Rows of a block of classes, of a block of queries, and bytes of a block's vectors, at most (on average).
+BLOCK_ROWS, QUERY_ROWS, BLOCK_BYTES = 1024, 1 << 14, 1 << 23
 #: Scores that are this close are computed anew with more digits before they are ordered.
 CLOSE = 1e-11
 
@@ -57,40 +57,36 @@ class CrossPolytope:
         self.probes_in = min(self.buckets_in, max(LEAST_PROBES, math.ceil(math.sqrt(self.buckets_in))))
         self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (tables, len(self.axes), ROUNDS, self.width))
 
-    def _tables(self, x: np.ndarray) -> Iterator[list[np.ndarray]]:
-        """For each table, the signed axes of each of its hashes, (rows, 2 * axes)."""
+    def _signed(self, x: np.ndarray, table: int) -> Iterator[np.ndarray]:
+        """The signed axes of each hash of a table, (rows, 2 * axes)."""
         x = np.pad(x, ((0, 0), (0, self.width - x.shape[1])))
-        for table in self.signs:
-            out = []
-            for rounds, axes in zip(table, self.axes, strict=True):
-                y = x
-                for s in rounds:
-                    y = hadamard(y * s)
-                out.append(np.concatenate([y[:, :axes], -y[:, :axes]], 1))
-            yield out
+        for rounds, axes in zip(self.signs[table], self.axes, strict=True):
+            y = x
+            for s in rounds:
+                y = hadamard(y * s)
+            yield np.concatenate([y[:, :axes], -y[:, :axes]], 1)
 
     def _named(self, table: int, code: np.ndarray) -> np.ndarray:
         """Bucket numbers that no other table or length of vector has."""
         return (np.int64(self.dim) << 48) + (np.int64(table) << 42) + code if self.buckets_in < 1 << 42 else code * np.int64(1 << 6) + table + self.dim
 
-    def buckets(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        for t, hashes in enumerate(self._tables(x)):
-            code = np.zeros(len(x), np.int64)
-            for signed in hashes:
-                code = code * signed.shape[1] + signed.argmax(1)
-            yield self._named(t, code)
-
-    def probes(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """For each table, the nearest buckets of each row: those whose axes fall short of the nearest ones by the least sum of squares."""
-        for t, hashes in enumerate(self._tables(x)):
-            code, short = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-            for signed in hashes:
-                gap, n = (signed.max(1, keepdims=True) - signed) ** 2, signed.shape[1]
-                both = (short[:, :, None] + gap[:, None, :]).reshape(len(x), -1)
-                most = min(self.probes_in, both.shape[1])  # the best of longer runs begin with the best of shorter ones
-                best = np.argpartition(both, most - 1, 1)[:, :most]
-                short, code = np.take_along_axis(both, best, 1), np.take_along_axis(code, best // n, 1) * n + best % n
-            yield self._named(t, code)
+    def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The bucket of each row, (rows, 1)."""
+        code = np.zeros(len(x), np.int64)
+        for signed in self._signed(x, table):
+            code = code * signed.shape[1] + signed.argmax(1)
+        return self._named(table, code)[:, None]
+
+    def probes(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The nearest buckets of each row: those whose axes fall short of the nearest ones by the least sum of squares."""
+        code, short = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for signed in self._signed(x, table):
+            gap, n = (signed.max(1, keepdims=True) - signed) ** 2, signed.shape[1]
+            both = (short[:, :, None] + gap[:, None, :]).reshape(len(x), -1)
+            most = min(self.probes_in, both.shape[1])  # the best of longer runs begin with the best of shorter ones
+            best = np.argpartition(both, most - 1, 1)[:, :most]
+            short, code = np.take_along_axis(both, best, 1), np.take_along_axis(code, best // n, 1) * n + best % n
+        return self._named(table, code)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -111,14 +107,14 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], hashes: dict[int, CrossPolyt
     for batch in batches:
         for i, (dim, block) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("block").to_pylist(), strict=True)):
             unit, h = _unit(_matrix(batch.column("vectors").slice(i, 1).flatten(), dim)), hashes[dim]
-            step = len(unit) if not probing else max(1, (1 << 21) // (h.probes_in * 2 * h.width))
-            for a in range(0, len(unit), step):
-                for code in (h.probes if probing else h.buckets)(unit[a : a + step]):
-                    row = a + np.repeat(np.arange(len(code)), code.size // len(code))
-                    order = np.argsort(code.ravel(), kind="stable")
-                    name, first = np.unique(code.ravel()[order], return_index=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, code.size], pa.int32()), pa.array(row[order].astype(np.int16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(name), *(pa.array(np.full(len(name), v, np.int32)) for v in (dim, block)), lists], names=["bucket", "dim", "block", "rows"])
+            step = max(1, (1 << 21) // (h.probes_in * 2 * h.width))
+            for t in range(len(h.signs)):
+                code = np.concatenate([h.probes(unit[a : a + step], t) if probing else h.buckets(unit[a : a + step], t) for a in range(0, len(unit), step)])
+                row = np.repeat(np.arange(len(code)), code.shape[1])
+                order = np.argsort(code.ravel(), kind="stable")
+                name, first = np.unique(code.ravel()[order], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, code.size], pa.int32()), pa.array(row[order].astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(name), *(pa.array(np.full(len(name), v, np.int32)) for v in (dim, block)), lists], names=["bucket", "dim", "block", "rows"])
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,11 +188,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))).withColumn("key", F.xxhash64("vector"))
 
 
-def _blocked(rows: DataFrame, by: str, counts: dict[int, int]) -> DataFrame:
+def _blocked(rows: DataFrame, by: str, counts: dict[int, int], most: int) -> DataFrame:
     """Rows with a `vector` in blocks: their lengths and the hash of `by` say which; no block grows with the table."""
     size = F.lit(1)
     for dim, n in counts.items():
-        size = F.when(F.col("dim") == dim, -(-n // max(16, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim))))).otherwise(size)
+        size = F.when(F.col("dim") == dim, -(-n // max(16, min(most, BLOCK_BYTES // (8 * dim))))).otherwise(size)
     return rows.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64(by, F.lit(1)), size).cast("int"))
 
 
@@ -228,11 +224,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     distinct = saved(queries.groupBy("key").agg(F.first("vector").alias("vector")), "distinct")
     counts = _per_length(index)
     hashes = vectors.sparkSession.sparkContext.broadcast({d: CrossPolytope(d, n, tables, seed) for d, n in counts.items()})
-    blocks = _blocked(index, "first", counts).groupBy("dim", "block").agg(F.collect_list(F.struct("first", "ids", "vector")).alias("m"))
+    blocks = _blocked(index, "first", counts, BLOCK_ROWS).groupBy("dim", "block").agg(F.collect_list(F.struct("first", "ids", "vector")).alias("m"))
     blocks = saved(blocks.select("dim", "block", F.col("m.first").alias("first"), F.col("m.ids").alias("ids"), F.col("m.vector").alias("vectors")), "blocks")
 
     def query_blocks(some: DataFrame) -> DataFrame:
-        made = _blocked(some, "key", _per_length(some)).groupBy("dim", "block").agg(F.collect_list(F.struct("key", "vector")).alias("m"))
+        made = _blocked(some, "key", _per_length(some), QUERY_ROWS).groupBy("dim", "block").agg(F.collect_list(F.struct("key", "vector")).alias("m"))
         return saved(made.select("dim", F.col("block").alias("q_block"), F.col("m.key").alias("keys"), F.col("m.vector").alias("q_vectors")), "asked")
 
     asked = query_blocks(distinct)
