@@ -91,6 +91,13 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
+def dropped_kind(table: DataFrame, value: str, by: str = "kind") -> None:
+    """Of a table saved by a column, delete the folder of a value that no later plan reads."""
+    spark = table.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{table._scratch_path}/{by}={value}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def slices(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `limit` bytes of `column`; a longer row stands alone."""
     start = size = 0
