@@ -75,12 +75,26 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str = "part", by: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends, and any executor can read it again. by: a column with a folder for each value."""
     path = f"{scratch_dir(df.sparkSession)}/{name}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if by:
+        with_writers(df.sparkSession, lambda: df.write.partitionBy(by).parquet(path))
+    else:
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
 
 
+def with_writers(spark: SparkSession, write: Callable[[], None], writers: int = 8) -> None:
+    """Write with a file open for each of a few values at a time: else Spark sorts each task's rows by them first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, "0")
+    spark.conf.set(name, str(writers))
+    try:
+        write()
+    finally:
+        spark.conf.set(name, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for t in tables:
