@@ -18,6 +18,8 @@ from lumenquarry.workers import find_package
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of rows in an Arrow batch.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group in scratch tables: what a writer, or a reader of long values, holds at a time.
+GROUP_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +77,11 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str = "part", by: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends, and any executor can read it again. by: a column with a folder for each value."""
     path = f"{scratch_dir(df.sparkSession)}/{name}"
+    write = df.write.option("parquet.block.size", GROUP_BYTES)
     if by:
-        with_writers(df.sparkSession, lambda: df.write.partitionBy(by).parquet(path))
+        with_writers(df.sparkSession, lambda: write.partitionBy(by).parquet(path))
     else:
-        df.write.parquet(path)
+        write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
