@@ -24,6 +24,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.length(t) <= LONGEST_TERM))
 
 
+def token_count(lower: Column, some: list[str] | None = None) -> Column:
+    """How many tokens a lower-case text has, or how many of them are among `some`; counted in place, without an array of tokens."""
+    run = "|".join(re.escape(w) for w in some) if some else rf"[\p{{L}}\p{{N}}]{{1,{LONGEST_TERM}}}+"
+    return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{run})(?![\p{{L}}\p{{N}}])"))
+
+
 def fold(text: Column) -> Column:
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
@@ -194,12 +200,11 @@ LANGUAGE_WORDS = {
 
 def language(text: Column) -> Column:
     """ISO 639-1 code of the language with most of its common words in the text; null under 20 bytes or without any. Ties go to the first by code."""
-    t = tokens(text)
-    common = lambda w: lambda x: x.isin(*w.split())
-    scores = [F.struct(F.size(F.filter(t, common(w))).alias("n"), F.lit(code).alias("code")) for code, w in sorted(LANGUAGE_WORDS.items())]
-    best = F.array_max(F.transform(F.array(*scores), lambda s: s["n"]))
-    code = F.filter(F.array(*scores), lambda s: s["n"] == best)[0]["code"]
-    return F.when((F.octet_length(text) >= 20) & (best > 0), code)
+    low = F.lower(text)
+    score = lambda n, turn, code: F.struct(n.alias("n"), F.lit(turn).alias("turn"), code.alias("code"))
+    scores = [score(token_count(low, w.split()), -i, F.lit(code)) for i, (code, w) in enumerate(sorted(LANGUAGE_WORDS.items()))]
+    none = score(F.lit(0), 1, F.lit(None).cast("string"))  # the greatest where no word is there
+    return F.when(F.octet_length(text) >= 20, F.greatest(none, *scores)["code"])
 
 
 def sentences(text: Column) -> Column:
