@@ -7,7 +7,7 @@ import html as html_lib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -48,23 +48,33 @@ def html_blocks(pages: DataFrame, key: str, html: Column) -> DataFrame:
     pattern = r"(?is)<(h[1-6]|p|pre|li)(?:\s[^>]*)?>(.*?)</\1>"
     whole = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     rows = pages.select(key, F.posexplode(whole).alias("block_ord", "b"))
-    tag = F.lower(F.regexp_extract("b", r"(?is)^<(h[1-6]|p|pre|li)", 1))
+    tag = F.lower(F.regexp_extract("b", r"(?is)^<(h[1-6]|pre|p|li)", 1))
     kind = F.when(tag.startswith("h"), "heading").when(tag == "pre", "code").when(tag == "li", "list_item").otherwise("paragraph")
     level = F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int"))
     return rows.select(key, "block_ord", kind.alias("kind"), level.alias("level"), _flat(F.col("b")).alias("text"))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("i", IntegerType()), StructField("x", StringType()), StructField("code", BooleanType())])))
+def _marked_lines(texts: pd.Series) -> pd.Series:
+    """Lines that aren't blank or fences, and whether they lie between fences; time in proportion to the text."""
+
+    def one(t: str | None) -> list[dict] | None:
+        if t is None:
+            return None
+        code, out = False, []
+        for i, x in enumerate(t.split("\n")):
+            if x.lstrip(" \t\n\v\f\r").startswith("```"):
+                code = not code
+            elif x.strip(" "):
+                out.append({"i": i, "x": x, "code": code})
+        return out
+
+    return texts.map(one)
+
+
 def markdown_blocks(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, line_ord, kind, level, text) of the lines that aren't blank; lines between fences are code."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("x")))
-    fence = lambda x: x.rlike(r"^\s*```")
-    start = F.struct(F.lit(False).alias("in_code"), F.array().cast("array<struct<i:int,x:string,code:boolean>>").alias("out"))
-    marked = F.aggregate(
-        lines,
-        start,
-        lambda s, line: F.when(fence(line["x"]), F.struct((~s["in_code"]).alias("in_code"), s["out"].alias("out"))).otherwise(F.struct(s["in_code"].alias("in_code"), F.concat(s["out"], F.array(F.struct(line["i"].alias("i"), line["x"].alias("x"), s["in_code"].alias("code")))).alias("out"))),
-    )["out"]
-    rows = docs.select(key, F.explode(F.filter(marked, lambda m: F.trim(m["x"]) != "")).alias("m"))
+    rows = docs.select(key, F.explode(_marked_lines(text)).alias("m"))
     hashes = F.length(F.regexp_extract("m.x", r"^(#{1,6})\s", 1))
     kind = F.when(F.col("m.code"), "code").when(hashes > 0, "heading").when(F.col("m.x").rlike(r"^\s*([-*+]|\d+\.)\s"), "list_item").when(F.col("m.x").rlike(r"^\s*>"), "quote").otherwise("paragraph")
     plain = F.when(F.col("m.code"), F.col("m.x")).otherwise(F.regexp_replace("m.x", r"^\s*(#{1,6}|[-*+]|\d+\.|>)\s*", ""))

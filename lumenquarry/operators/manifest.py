@@ -114,6 +114,20 @@ def hard_links(files: DataFrame) -> DataFrame:
     return both.select("file_id", F.when(F.col("first") != F.col("file_id"), F.col("first")).alias("hard_link_of"))
 
 
+def gaps(events: DataFrame, kind: str, at_us: Column, tie: str, hours: int = 1) -> DataFrame:
+    """events with gap_us: the time since the event before of its kind, null for the first.
+
+    Each kind is cut into hours, so that no kind, however frequent, is one group; what crosses an
+    hour's edge comes from a table with one row for each kind and hour.
+    """
+    d = events.withColumn("at_us", at_us).withColumn("hour", F.floor(F.col("at_us") / (hours * 3_600_000_000)))
+    ends = d.groupBy(kind, "hour").agg(F.max("at_us").alias("last"))
+    before = ends.withColumn("before", F.lag("last").over(Window.partitionBy(kind).orderBy("hour"))).select(F.col(kind).alias("kind_of"), F.col("hour").alias("hour_of"), "before")
+    inside = F.lag("at_us").over(Window.partitionBy(kind, "hour").orderBy("at_us", tie))
+    same = F.col(kind).eqNullSafe(F.col("kind_of")) & F.col("hour").eqNullSafe(F.col("hour_of"))
+    return d.withColumn("inside", inside).join(before, same).select(*events.columns, (F.col("at_us") - F.coalesce("inside", "before")).alias("gap_us"))
+
+
 def recent_runs(runs: DataFrame, keep: int = 1000) -> DataFrame:
     return runs.orderBy(F.desc("run_id")).limit(keep)
 
@@ -143,8 +157,8 @@ def corrupted(stored: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def hash_sample(files: DataFrame, fraction: float, key: str = "file_id") -> DataFrame:
-    """A sample that is the same wherever it is taken."""
-    return files.where(F.pmod(F.col(key) * 2654435761, F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """A sample that is the same wherever it is taken: by the key's product with a constant, modulo a million (of the key's remainder: no overflow)."""
+    return files.where(F.pmod(F.pmod(F.col(key), F.lit(1_000_000)) * 2654435761, F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
 def matching(manifest: DataFrame, glob: str) -> DataFrame:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenquarry.functions.globs import glob_match
-from lumenquarry.functions.text import tokens
+from lumenquarry.functions.text import token_count, tokens
 from lumenquarry.functions.vectors import dot, doubles
 
 K1, B = 1.2, 0.75
 #: Ranges of scores up to this count as ties.
 TIE = 1.19e-7
+#: Bytes of query vectors that are broadcast at a time.
+QUERY_BYTES = 32 << 20
 
 
 # postings
@@ -36,21 +38,17 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, average: Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def bm25_scan(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of the documents that hold any of the terms, without an index: one pass, one row of statistics.
 
-    Each document's frequencies of the query's terms are counted in place, so nothing but sums is
-    shuffled; the statistics are a single row. Columns: key, keep, score and has_<i> for each term.
+    Each document's frequencies of the query's terms are counted in its text, without an array of its
+    tokens, so nothing but sums is shuffled; the statistics are a single row. Columns: key, keep, score
+    and has_<i> for each term.
     """
     names = list(fields)
-    cols = [F.col(key), *(F.col(c) for c in keep), *(tokens(fields[f][0]).alias(f"t_{f}") for f in names)]
-    d = docs.select(*cols)
-    tf = {(f, i): F.size(F.filter(f"t_{f}", _equals(t))) for f in names for i, t in enumerate(terms)}
-    d = d.select(key, *keep, *(F.size(f"t_{f}").alias(f"len_{f}") for f in names), *(c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()))
+    d = docs.select(F.col(key), *(F.col(c) for c in keep), *(F.lower(fields[f][0]).alias(f"t_{f}") for f in names))
+    tf = {(f, i): F.coalesce(token_count(F.col(f"t_{f}"), [t]), F.lit(0)) for f in names for i, t in enumerate(terms)}
+    d = d.select(key, *keep, *(F.coalesce(token_count(F.col(f"t_{f}")), F.lit(-1)).alias(f"len_{f}") for f in names), *(c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()))
     stats = d.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in names), *(F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf))
     d = d.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -80,6 +78,17 @@ def field_lengths(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return row.select("n", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "average"))
 
 
+def chunk_lengths(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, one column for each field): tokens of each chunk's fields."""
+    return chunks.select(*keys, *(F.size(tokens(c)).cast("int").alias(f) for f, c in fields.items()))
+
+
+def average_lengths(lengths: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(field, n, average) as `field_lengths` gives it, from `chunk_lengths`: no text is read."""
+    row = lengths.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f) for f in fields))
+    return row.select("n", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "average"))
+
+
 def ranked(scored: DataFrame, k: int, key: str = "file_id", offset: int = 0, digits: int = 6) -> DataFrame:
     """The rows offset+1 to offset+k by score, ties by key, with their rank. Keeps k rows of each partition."""
     top = scored.select(key, F.round("score", digits).alias("score")).orderBy(F.desc("score"), key).offset(offset).limit(k)
@@ -221,9 +230,16 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vec
 def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", score: Column | None = None) -> DataFrame:
     """The k nearest of each query (query_id, q) among (vec_id, v), a stated set of queries against all rows.
 
-    The queries are broadcast: their number is the caller's. Each partition keeps its own k best
-    for every query before they meet.
+    The queries go to the rows in blocks of up to QUERY_BYTES, whose number is counted first; each
+    partition keeps its own k best for every query before they meet.
     """
-    pairs = vectors.join(F.broadcast(queries), F.lit(True)).select(query_key, key, F.round(score if score is not None else dot(F.col("q"), F.col("v")), 6).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    sent = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-sent // QUERY_BYTES))
+    found = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(some), F.lit(True)).select(query_key, key, F.round(score if score is not None else dot(F.col("q"), F.col("v")), 6).alias("score"))
+        w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+        best = pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found

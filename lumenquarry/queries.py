@@ -220,10 +220,10 @@ def vector_mrl_knn(spark, sf_dir):
     return S.knn(short, list(q), 10)
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
+@query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
 def vector_batch_knn(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))  # the stated query set
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))  # the stated query set
     return S.knn_batch(q, v, 5)
 
 
@@ -552,9 +552,8 @@ def disk_memory_estimates(spark, sf_dir):
 
 @query("SELECT run_id, kind, CAST(gap_us AS BIGINT) AS gap_us FROM (SELECT event_id AS run_id, event_type AS kind, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap_us FROM events)")
 def run_gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("kind"), (us - F.lag(us).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).alias("gap_us"))
+    g = N.gaps(table(spark, sf_dir, "events"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")), "event_id")
+    return g.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("kind"), "gap_us")
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
