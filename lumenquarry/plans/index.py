@@ -15,9 +15,10 @@ from lumenquarry.functions import text as X
 from lumenquarry.functions import vectors as V
 from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
+from lumenquarry.operators import extract as E
 from lumenquarry.operators import manifest as N
 from lumenquarry.operators import search as S
-from lumenquarry.schema import ARCHIVE_META, CHUNKS, DOC_META, MANIFEST, PROGRESS, RUNS, SCHEMA_VERSION, TAGS, ExitCode, IndexError_, Status
+from lumenquarry.schema import ARCHIVE_META, CHUNK_LENGTHS, CHUNKS, DOC_META, MANIFEST, MEDIA_META, PROGRESS, RUNS, SCHEMA_VERSION, TAGS, ExitCode, IndexError_, Status
 from lumenquarry.sources.archives import archive_members
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import walk, with_contents
@@ -28,6 +29,8 @@ LENGTHS = StructType([StructField("n", LongType()), StructField("field", StringT
 #: Folders that postings lie in, by their term's hash: a query reads those of its terms.
 BUCKETS = 64
 FIELDS = ("body", "title", "path")
+#: Members of archives have ids from here on.
+MEMBER_IDS = 1 << 62
 
 
 @dataclass
@@ -57,6 +60,41 @@ def _bucket(term) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _fields_of() -> dict[str, F.Column]:
+    """The fields of chunks joined with their file's title and path (p)."""
+    return {"body": F.col("text"), "title": F.coalesce("title", F.lit("")), "path": F.col("p")}
+
+
+def _title(extractor: str, text: str, given: F.Column) -> F.Column:
+    found = F.when(F.col(extractor) == "html", E.html_title(F.col(text))).when(F.col(extractor) == "markdown", F.trim(F.regexp_extract(text, r"(?m)^#\s+(.*)$", 1)))
+    return F.coalesce(F.nullif(given, F.lit("")), found, F.lit(""))
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(file_id, block_ord, kind, context, byte_start, byte_end, text) of (file_id, path, extractor, text), each text by its own reader.
+
+    What a reader finds no block in is read as plain text. context is the nearest heading above, in
+    marked-up texts; byte offsets are those of plain text.
+    """
+    body, log = F.col("text"), (F.col("extractor") == "plaintext") & M.is_log(F.col("path"), F.col("text"))
+    of = lambda name: texts.where(F.col("extractor") == name)
+    shaped = lambda d, order, kind: d.select("file_id", F.col(order).alias("block_ord"), kind.alias("kind"), "text")
+    marked = [shaped(E.html_blocks(of("html"), "file_id", body), "block_ord", F.col("kind")), shaped(E.markdown_blocks(of("markdown"), "file_id", body), "line_ord", F.col("kind"))]
+    marked = C.with_heading(marked[0].unionByName(marked[1]).withColumn("heading", F.when(F.col("kind") == "heading", F.col("text"))), "file_id", "block_ord", "heading")
+    marked = marked.withColumn("context", F.when(F.col("kind") != "heading", F.col("context"))).drop("heading")
+    record = F.lit("record")
+    records = shaped(E.csv_records(of("csv"), "file_id", body), "record_ord", record)
+    for more in (E.json_records(of("json"), "file_id", body), E.sql_statements(of("sql"), "file_id", body), E.log_batches(texts.where(log), "file_id", body)):
+        records = records.unionByName(shaped(more, "record_ord", record))
+    read = marked.unionByName(records, True).where("text <> ''")
+    rest = texts.where(~F.col("extractor").isin("plaintext", "docx")).join(read.select("file_id").distinct(), "file_id", "left_anti")
+    bare = F.when(F.col("extractor") == "html", E.html_text(body)).otherwise(body)
+    plain = texts.where(F.col("extractor").isin("plaintext", "docx") & ~F.coalesce(log, F.lit(False))).select("file_id", "path", "text").unionByName(rest.select("file_id", "path", bare.alias("text")))
+    code = plain.select("file_id", F.when(M.code_language(F.col("path")).isNotNull(), "code").otherwise("paragraph").alias("kind"))
+    paragraphs = C.blocks(plain, "file_id", body).join(code, "file_id")
+    return read.unionByName(paragraphs, True).select("file_id", "block_ord", "kind", "context", "byte_start", "byte_end", "text")
+
+
 class Index:
     def __init__(self, catalog: Catalog):
         self.catalog, self.spark = catalog, catalog.spark
@@ -102,7 +140,9 @@ class Index:
 
     def _reconcile(self, tree: str, kind: str, only_new: bool, verify: bool) -> Stats:
         started, limits = time.time_ns(), self.config.extraction
-        seen, old = self._walked(tree), self.manifest()
+        # members of archives are rows of their own, which no walk meets
+        seen, everything = self._walked(tree), self.manifest()
+        old, old_members = everything.where("parent_archive_id is null"), everything.where("parent_archive_id is not null")
         change = N.diff(seen, old)
         todo = ["new"] if only_new else ["new", "modified", "unchanged"] if kind == "full" or verify else ["new", "modified"]
         counts = N.counts(change).first()
@@ -138,41 +178,80 @@ class Index:
         gone_before = old.where(F.col("status") == int(Status.DELETED)).join(change.select("path"), "path", "left_anti")
         links = N.hard_links(new.where(F.col("status") != int(Status.DELETED)))
         manifest = new.join(links, "file_id", "left").select(*MANIFEST.names).unionByName(gone_before.select(*MANIFEST.names))
-        replaced = rows.where(F.col("change").isin(*todo, "deleted")).select("file_id")
-        text = done.where("text is not null and text <> ''").select("file_id", "path", "text", F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"))
-        member_text = members.where("content is not null").join(done.select("path", "file_id").withColumnRenamed("path", "archive_path"), F.expr("split(path, '!/', 2)[0] = archive_path")).select("file_id", "path", B.decoded("content").alias("text"), F.lit("").alias("title"))
-        text = text.unionByName(member_text)
-        pieces = C.chunk_windows(text, "file_id", F.col("text"), self.config.chunking.target_tokens, self.config.chunking.overlap_tokens)
-        pieces = pieces.withColumn("chunk_ord", (F.row_number().over(Window.partitionBy("file_id").orderBy("chunk_ord", "text")) - 1).cast("int"))
-        chunk_rows = pieces.select("file_id", "chunk_ord", F.lit(None).cast("long").alias("byte_start"), F.lit(None).cast("long").alias("byte_end"), F.lit("paragraph").alias("block_kind"), "text")
+        redone = rows.where(F.col("change").isin(*todo, "deleted")).select("file_id")
+        replaced = redone.unionByName(old_members.join(redone.withColumnRenamed("file_id", "parent_archive_id"), "parent_archive_id", "left_semi").select("file_id"))
+        inside = self._members(members, done, started)
+        manifest = manifest.unionByName(N.without(old_members, replaced).select(*MANIFEST.names)).unionByName(inside.select(*MANIFEST.names))
+        text = done.where("text is not null and text <> ''").select("file_id", "path", "extractor", "text", _title("extractor", "text", F.col("meta")["title"]).alias("title"))
+        member_text = inside.where("content is not null").withColumn("extractor", M.extractor(F.col("mime_type"))).where(~F.col("extractor").isin("skip", "metadata", "archive", "image", "pdf", "docx")).withColumn("text", X.nfc(B.decoded("content")))
+        text = text.unionByName(member_text.select("file_id", "path", "extractor", "text", _title("extractor", "text", F.lit(None).cast("string")).alias("title")))
+        text_path = f"{path}-text"
+        text.write.parquet(text_path)
+        text = self.spark.read.schema(text.schema).parquet(text_path)
+        pieces = C.chunk_windows(_blocks(text), ("file_id", "block_ord", "kind", "context", "byte_start", "byte_end"), F.col("text"), self.config.chunking.target_tokens, self.config.chunking.overlap_tokens)
+        pieces = pieces.withColumn("chunk_ord", (F.row_number().over(Window.partitionBy("file_id").orderBy("block_ord", "chunk_ord")) - 1).cast("int"))
+        chunk_rows = pieces.select("file_id", "chunk_ord", "byte_start", "byte_end", F.col("kind").alias("block_kind"), X.with_prefix(F.col("context"), F.col("text")).alias("text"))
+        chunk_path = f"{path}-chunks"
+        chunk_rows.write.parquet(chunk_path)
+        chunk_rows = self.spark.read.schema(CHUNKS).parquet(chunk_path)
         chunks = N.without(self.chunks(), replaced).unionByName(chunk_rows)
-        meta = done.select("file_id", *(F.col("meta")[n].alias(n) for n in ("title", "author", "subject", "creator", "producer")), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.lit(None).cast("int").alias("page_count"), X.word_count(F.coalesce("text", F.lit(""))).alias("word_count"), X.language(F.col("text")).alias("lang"))
+        titles = text.select("file_id", "title")
+        read_as = F.when(F.col("extractor") == "html", E.html_text(F.col("text"))).otherwise(F.col("text"))
+        meta = done.drop("title").join(titles, "file_id", "left").select("file_id", F.nullif("title", F.lit("")).alias("title"), *(F.col("meta")[n].alias(n) for n in ("author", "subject", "creator", "producer")), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.lit(None).cast("int").alias("page_count"), X.word_count(F.coalesce(read_as, F.lit(""))).alias("word_count"), X.language(read_as).alias("lang"))
+        media = done.where("extractor = 'image' and error is null").select("file_id", *(F.col("meta")[n].cast(MEDIA_META[n].dataType).alias(n) for n in MEDIA_META.names[1:]))
+        medias = N.without(self.catalog.table("media_meta", MEDIA_META), replaced).unionByName(media)
         metas = N.without(self.catalog.table("doc_meta", DOC_META), replaced).unionByName(meta)
         rollup = members.groupBy(F.expr("split(path, '!/', 2)[0]").alias("path")).agg(F.count("member").alias("member_count"), F.sum("size").alias("total_size"), F.max("error").alias("worst"))
         archives = rollup.join(done.select("path", "file_id", "mime_type"), "path").select("file_id", "member_count", "total_size", F.col("mime_type").alias("format"), F.when(F.col("worst").isNull(), "complete").otherwise("partial").alias("extraction_status"))
         archives = N.without(self.catalog.table("archive_meta", ARCHIVE_META), replaced).unionByName(archives)
-        progress = N.without(self.catalog.table("progress", PROGRESS), replaced).unionByName(result.where(F.col("n_status") == int(Status.INDEXED)).select("file_id", F.lit("fts").alias("index_name"), F.lit(SCHEMA_VERSION).alias("schema_ver"), F.lit(started).alias("indexed_at_ns")))
+        indexed = result.where(F.col("n_status") == int(Status.INDEXED)).select("file_id").unionByName(inside.where(F.col("status") == int(Status.INDEXED)).select("file_id"))
+        progress = N.without(self.catalog.table("progress", PROGRESS), replaced).unionByName(indexed.select("file_id", F.lit("fts").alias("index_name"), F.lit(SCHEMA_VERSION).alias("schema_ver"), F.lit(started).alias("indexed_at_ns")))
         ended = time.time_ns()
         run_id = 1 + (self.catalog.table("runs", RUNS).agg(F.max("run_id")).first()[0] or 0)
         run = self.spark.createDataFrame([(run_id, started, ended, kind, "metadata_diff", counts.new_files + counts.modified + counts.deleted + counts.unchanged, counts.new_files, counts.modified, counts.deleted, counts.unchanged, counts.processed, (ended - started) // 1_000_000, 0, None)], RUNS)
         runs = N.recent_runs(self.catalog.table("runs", RUNS).unionByName(run))
-        self.catalog.commit({"manifest": manifest, "chunks": chunks, "doc_meta": metas, "archive_meta": archives, "progress": progress, "runs": runs}, {"last_reconciliation_ns": started})
-        self._index_text()
+        # only the chunks of this run are split into terms; the postings of all others are carried over
+        paths = done.select("file_id", "path").unionByName(inside.select("file_id", "path"))
+        fresh = chunk_rows.join(paths.withColumnRenamed("path", "p"), "file_id").join(titles, "file_id", "left")
+        text_tables = self._text_tables(fresh, _fields_of(), replaced)
+        self.catalog.commit({"manifest": manifest, "chunks": chunks, "doc_meta": metas, "media_meta": medias, "archive_meta": archives, "progress": progress, "runs": runs} | text_tables, {"last_reconciliation_ns": started}, partition_by={"postings": "bucket"})
         failed = self.manifest().where(F.col("last_verified_ns") == started).where(F.col("status").isin(int(Status.FAILED_TRANSIENT), int(Status.FAILED_PERMANENT))).count()
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.catalog._fs.delete(fs_path, True)
+        for used in (path, text_path, chunk_path):
+            self.catalog._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(used), True)
         return Stats(run_id, counts.new_files, counts.modified, counts.deleted, counts.unchanged, counts.processed, failed, (time.time_ns() - started) // 1_000_000)
 
     def _fields(self) -> tuple[DataFrame, dict[str, F.Column]]:
         named = N.live(self.manifest()).select("file_id", F.col("path").alias("p"))
         titles = self.catalog.table("doc_meta", DOC_META).select("file_id", "title")
         d = self.chunks().join(named, "file_id").join(titles, "file_id", "left")
-        return d, {"body": F.col("text"), "title": F.coalesce("title", F.lit("")), "path": F.col("p")}
+        return d, _fields_of()
+
+    def _text_tables(self, fresh: DataFrame, fields: dict[str, F.Column], replaced: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Postings and lengths of fresh chunks, beside those of all files that aren't replaced (None: all are)."""
+        keys = ("file_id", "chunk_ord")
+        postings = S.postings(fresh, fields, keys).withColumn("bucket", _bucket("term")).select(*POSTINGS.names)
+        lengths = S.chunk_lengths(fresh, fields, keys)
+        if replaced is not None:
+            postings = N.without(self.catalog.table("postings", POSTINGS), replaced).unionByName(postings)
+            lengths = N.without(self.catalog.table("chunk_lengths", CHUNK_LENGTHS), replaced).unionByName(lengths)
+        dealt = postings.repartition("bucket", F.pmod(F.xxhash64("term", "file_id"), F.lit(16)))
+        return {"postings": dealt, "chunk_lengths": lengths, "lengths": S.average_lengths(lengths, FIELDS)}
 
     def _index_text(self) -> None:
-        d, fields = self._fields()
-        postings = S.postings(d, fields, ("file_id", "chunk_ord")).withColumn("bucket", _bucket("term"))
-        self.catalog.commit({"postings": postings.repartition("bucket", F.pmod(F.xxhash64("term", "file_id"), F.lit(16))), "lengths": S.field_lengths(d, fields)}, partition_by={"postings": "bucket"})
+        self.catalog.commit(self._text_tables(*self._fields()), partition_by={"postings": "bucket"})
+
+    def _members(self, members: DataFrame, done: DataFrame, started: int) -> DataFrame:
+        """Manifest rows, with content, of the members that archives gave; their ids come from their paths, above those of files."""
+        parent = done.where("archive is not null").select(F.col("path").alias("archive_path"), F.col("file_id").alias("parent_archive_id"))
+        d = members.where("member is not null").join(parent, F.expr("split(path, '!/', 2)[0]") == F.col("archive_path"))
+        none = {n: F.lit(None).cast(MANIFEST[n].dataType) for n in MANIFEST.names}
+        permanent = F.when(F.col("error").isNull(), int(Status.INDEXED)).otherwise(int(Status.FAILED_PERMANENT))
+        known = {
+            "file_id": F.xxhash64("path").bitwiseAND(F.lit(MEMBER_IDS - 1)).bitwiseOR(F.lit(MEMBER_IDS)), "path": F.col("path"), "path_raw": F.encode("path", "UTF-8"), "path_hash": F.xxhash64("path"), "size": F.col("size"),
+            "content_hash": F.sha2("content", 256), "mime_type": M.detect(F.col("path"), F.col("content")), "status": permanent.cast("int"), "fail_count": F.col("error").isNotNull().cast("int"), "first_seen_ns": F.lit(started),
+            "last_verified_ns": F.lit(started), "error_msg": F.col("error"), "parent_archive_id": F.col("parent_archive_id"),
+        }
+        return d.select(*(known.get(n, none[n]).alias(n) for n in MANIFEST.names), "content")
 
     def put_vectors(self, vectors: DataFrame, dims: int = 256) -> None:
         """Vectors (file_id, chunk_ord, v) of chunks, shortened to dims and scaled; they take the place of those of the same files."""
@@ -275,7 +354,8 @@ class Index:
 
     def verify(self, tree: str, sample: float = 1.0, fail_fast: bool = False) -> DataFrame:
         """(file_id, stored, actual) of files whose bytes aren't what was indexed."""
-        m = N.hash_sample(N.live(self.manifest()), sample) if sample < 1 else N.live(self.manifest())
+        files = N.live(self.manifest()).where("parent_archive_id is null")
+        m = N.hash_sample(files, sample) if sample < 1 else files
         actual = with_contents(m.select("file_id", "path"), tree).select("file_id", F.sha2("content", 256).alias("content_hash"))
         bad = N.corrupted(m, actual)
         return bad.limit(1) if fail_fast else bad
@@ -287,9 +367,9 @@ class Index:
         if not dry_run and not gone.isEmpty():
             ids = N.with_members(gone, self.manifest(), self.config.archives.max_depth)
             marked = self.manifest().join(ids.withColumn("g", F.lit(True)), "file_id", "left").withColumn("status", F.when(F.col("g"), int(Status.DELETED)).otherwise(F.col("status")).cast("int")).select(*MANIFEST.names)
-            others = {n: N.without(self.catalog.table(n, s), ids) for n, s in (("chunks", CHUNKS), ("doc_meta", DOC_META), ("archive_meta", ARCHIVE_META), ("progress", PROGRESS), ("tags", TAGS), ("vectors", VECTORS)) if self.catalog.has(n)}
-            self.catalog.commit({"manifest": marked} | others)
-            self._index_text()
+            others = {n: N.without(self.catalog.table(n, s), ids) for n, s in (("chunks", CHUNKS), ("doc_meta", DOC_META), ("archive_meta", ARCHIVE_META), ("progress", PROGRESS), ("media_meta", MEDIA_META), ("tags", TAGS), ("vectors", VECTORS)) if self.catalog.has(n)}
+            nothing = self.spark.createDataFrame([], "file_id long, chunk_ord int, text string, title string, p string")
+            self.catalog.commit({"manifest": marked} | others | self._text_tables(nothing, _fields_of(), ids.select("file_id")), partition_by={"postings": "bucket"})
         return gone
 
     def tag(self, glob: str, *names: str) -> None:
@@ -313,7 +393,7 @@ class Index:
     def compact(self) -> list[str]:
         """Rewrite tables without rows of files that are gone, then delete old snapshots."""
         alive = N.live(self.manifest()).select("file_id")
-        kept = {n: self.catalog.table(n, s).join(alive, "file_id", "left_semi") for n, s in (("chunks", CHUNKS), ("doc_meta", DOC_META), ("archive_meta", ARCHIVE_META), ("tags", TAGS), ("vectors", VECTORS)) if self.catalog.has(n)}
+        kept = {n: self.catalog.table(n, s).join(alive, "file_id", "left_semi") for n, s in (("chunks", CHUNKS), ("doc_meta", DOC_META), ("archive_meta", ARCHIVE_META), ("media_meta", MEDIA_META), ("tags", TAGS), ("vectors", VECTORS)) if self.catalog.has(n)}
         self.catalog.commit({"manifest": N.live(self.manifest())} | kept)
         return self.catalog.vacuum()
 

@@ -55,6 +55,8 @@ PROGRESS = _struct("file_id long,index_name string,schema_ver int,indexed_at_ns
 RUNS = _struct("run_id long,started_ns long,completed_ns long,kind string,method string,total_files long,new_files long,modified long,deleted long,unchanged long,processed long,duration_ms long,timed_out int,error string")
 CHUNKS = _struct("file_id long,chunk_ord int,byte_start long,byte_end long,block_kind string,text string")
 DOC_META = _struct("file_id long,title string,author string,subject string,creator string,producer string,created_at string,modified_at string,page_count int,word_count int,lang string")
+MEDIA_META = _struct("file_id long,codec string,width int,height int,camera_make string,camera_model string,taken_at string,iso string,focal_length string,aperture string")
+CHUNK_LENGTHS = _struct("file_id long,chunk_ord int,body int,title int,path int")
 ARCHIVE_META = _struct("file_id long,member_count long,total_size long,format string,extraction_status string")
 TAGS = _struct("file_id long,tag string")
 POSTINGS = _struct("term string,file_id long,chunk_ord int,field string,tf long,length long")

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenquarry.operators.search import Filters
-from lumenquarry.plans.index import Index
+from lumenquarry.plans.index import LENGTHS, POSTINGS, Index
 from lumenquarry.plans.render import FORMATS, render
-from lumenquarry.schema import ExitCode, IndexError_
+from lumenquarry.schema import DOC_META, MEDIA_META, ExitCode, IndexError_
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import contents, walk
 from lumenquarry.streaming.events import event_windows
@@ -52,16 +52,16 @@ def test_life_of_an_index(spark, tree, tmp_path):
     hit = ix.search("earnings")
     assert [r.path for r in hit.rows.collect()] == ["docs/report.md"] and (hit.mode, hit.total, hit.truncated) == ("fts", 1, False)
     assert "<b>earnings</b>" in hit.rows.first().snippet
-    assert [r.path for r in ix.search("treasure").rows.collect()] == ["a.zip"] and ix.search("absent").total == 0
+    assert [r.path for r in ix.search("treasure").rows.collect()] == ["a.zip!/in/side.txt"] and ix.search("absent").total == 0
     assert [r.path for r in ix.search('"fast hash"').rows.collect()] == ["notes.txt"] and ix.search('"hash fast"').total == 0
-    assert [r.path for r in ix.search("report", filters=Filters(path="docs/**")).rows.collect()] == ["docs/report.md"] and ix.search("report", filters=Filters(path="x/**")).total == 0
+    assert {r.path for r in ix.search("report", filters=Filters(path="docs/**")).rows.collect()} == {"docs/report.md"} and ix.search("report", filters=Filters(path="x/**")).total == 0
     for form in FORMATS:
         assert "report.md" in render(hit.rows, form)
     ix.put_vectors(ix.chunks().select("file_id", "chunk_ord", F.when(F.col("text").contains("hash"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("v")), 2)
     semantic = ix.search("anything", "semantic", vector=[1.0, 0.1])
     assert semantic.mode == "semantic" and semantic.rows.first().path == "notes.txt"
     both = ix.search("what is the hash of earnings", vector=[1.0, 0.1], explain=True)
-    assert both.mode == "hybrid" and {"score_fts", "score_vec"} <= set(both.rows.columns) and both.rows.count() == 4
+    assert both.mode == "hybrid" and {"score_fts", "score_vec"} <= set(both.rows.columns) and both.rows.count() == 5  # a heading and a paragraph, two files, a member
     assert ix.search("anything at all is fine", "semantic").warning
     (tree / "notes.txt").write_text("blake3 is a fast hash function\nand more\n")
     os.remove(tree / "docs/report.md")
@@ -80,6 +80,54 @@ def test_life_of_an_index(spark, tree, tmp_path):
     assert ix.compact() and ix.search("blake3").total == 1 and ix.stats()["deleted"] == 0
 
 
+def test_structured_files_in_an_index(spark, tmp_path):
+    import struct
+
+    root = tmp_path / "tree"
+    (root / "web").mkdir(parents=True)
+    (root / "web/page.html").write_text("<html><head><title>Fine &amp; Dandy</title><style>p {color: red}</style></head><body><h1>Harbours</h1><p>Ships <b>sail</b> north.</p><pre>run();</pre></body></html>")
+    (root / "bare.html").write_text("<div>only a division</div>")
+    (root / "read.md").write_text("# Manual\n\nIntro words.\n\n```\ncode line\n```\n\n## Setup\n- plug it in\n")
+    (root / "rows.csv").write_text('name,town\nAda,"Lon,don"\nBob,Rome\n')
+    (root / "data.json").write_text('[{"a": 1}, {"a": 2}]')
+    (root / "plain.txt").write_text("first block é\n\nsecond block\n")
+    (root / "main.py").write_text("def f():\n    return 1\n")
+    (root / "pic.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 12, 34) + b"\x08\x02\0\0\0" + b"\0" * 8)
+    with zipfile.ZipFile(root / "all.zip", "w") as z:
+        z.writestr("in/inner.md", "# Inside\n\nburied words\n")
+        z.writestr("../evil.txt", "never")
+    ix = Index.create(spark, str(tmp_path / "idx"))
+    ix.reconcile(str(root))
+    assert ix.catalog.state()["snapshot"] == 1  # all tables in one commit
+    paths = {r.path: r for r in ix.manifest().collect()}
+    assert paths["all.zip!/in/inner.md"].parent_archive_id == paths["all.zip"].file_id and paths["all.zip!/in/inner.md"].mime_type == "text/markdown"
+    assert paths["all.zip!/../evil.txt"].status == 4 and paths["all.zip!/../evil.txt"].error_msg.startswith("[UNSUPPORTED]")
+    chunks = {}
+    for r in ix.chunks().join(ix.manifest().select("file_id", "path"), "file_id").orderBy("chunk_ord").collect():
+        chunks.setdefault(r.path, []).append((r.block_kind, r.text, r.byte_start, r.byte_end))
+    assert [c[:2] for c in chunks["web/page.html"]] == [("heading", "Harbours"), ("paragraph", "Harbours\nShips sail north."), ("code", "Harbours\nrun();")]
+    assert [c[1] for c in chunks["bare.html"]] == ["only a division"]
+    assert [c[:2] for c in chunks["read.md"]] == [("heading", "Manual"), ("paragraph", "Manual\nIntro words."), ("code", "Manual\ncode line"), ("heading", "Setup"), ("list_item", "Setup\nplug it in")]
+    assert [c[:2] for c in chunks["rows.csv"]] == [("record", "name: Ada; town: Lon,don"), ("record", "name: Bob; town: Rome")]
+    assert [c[1] for c in chunks["data.json"]] == ['{"a":1}', '{"a":2}']
+    assert chunks["plain.txt"] == [("paragraph", "first block é", 0, 14), ("paragraph", "second block", 16, 29)]
+    assert chunks["main.py"][0][0] == "code" and [c[1] for c in chunks["all.zip!/in/inner.md"]] == ["Inside", "Inside\nburied words"]
+    meta = {r.path: r for r in ix.catalog.table("doc_meta", DOC_META).join(ix.manifest().select("file_id", "path"), "file_id").collect()}
+    assert meta["web/page.html"].title == "Fine & Dandy" and meta["read.md"].title == "Manual"
+    media = ix.catalog.table("media_meta", MEDIA_META).first()
+    assert (media.file_id, media.codec, media.width, media.height) == (paths["pic.png"].file_id, "png", 12, 34)
+    assert ix.search("color").total == 0 and ix.search("dandy").rows.first().path == "web/page.html" and ix.search("buried").total == 1
+    of = lambda p: sorted(map(tuple, ix.catalog.table("postings", POSTINGS).where(F.col("file_id") == p.file_id).collect()))
+    before = of(paths["read.md"]), ix.search("sail").rows.first().score_raw
+    (root / "plain.txt").write_text("another text altogether\n")
+    os.remove(root / "all.zip")
+    ix.reconcile(str(root))
+    assert of(paths["read.md"]) == before[0] and ix.search("buried").total == 0 and ix.search("altogether").total == 1 and ix.search("second").total == 0
+    fast = {r.field: (r.n, r.average) for r in ix.catalog.table("lengths", LENGTHS).collect()}
+    ix.reindex("fts")
+    assert fast == {r.field: (r.n, r.average) for r in ix.catalog.table("lengths", LENGTHS).collect()}
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog.create(spark, str(tmp_path / "c"), "[search]\nlimit = 3\n")
     df = spark.range(3)
