@@ -255,12 +255,18 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>. Null or empty text: no ids. Rows stay as they are, repeated ones and null ids too."""
+    """doc_id, ids array<int>. Null or empty text: no ids; a long text is encoded whole.
+
+    Null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
+    """
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda it: _encoded(it, path), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, decoded binary, from doc_id and ids (null: no bytes)."""
+    """doc_id, decoded binary, from doc_id and ids (null or empty: no bytes).
+
+    Null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path), "doc_id long, decoded binary")
 
 

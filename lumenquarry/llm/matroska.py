@@ -258,7 +258,10 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each text's bytes, zero-padded, as 8-bit samples in a Matroska file. Null text: an empty one."""
+    """doc_id, n_bytes and media: each text's bytes, zero-padded, as 8-bit samples in a Matroska file. Null text: an empty one; a long text is one file.
+
+    Null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
+    """
     return id_and_text(docs, id_col, text_col).mapInArrow(_written, "doc_id long, n_bytes long, media binary")
 
 
@@ -281,7 +284,10 @@ def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet of (doc_id, media): track, timestamp, byte range in the file, cluster, key. Null media: no rows; broken media: one row with an error."""
+    """One row per packet of (doc_id, media): track, timestamp, byte range in the file, cluster, key. Null media: no rows; broken media: one row with an error.
+
+    Null ids and repeated rows stay; an empty table gives an empty table; other columns are not read.
+    """
     return media.select("doc_id", "media").mapInArrow(_packets, f"doc_id long, error string, {PACKETS}")
 
 

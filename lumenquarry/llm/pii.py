@@ -503,7 +503,11 @@ def _rewritten(batches: Iterator[pa.RecordBatch], model: BiLstmCrf, text_col: st
 
 
 def redact_documents(docs: DataFrame, examples: int = EXAMPLES, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """docs, with every span of `find_pii` replaced by its kind; other columns and null texts stay. Narrow: no shuffle."""
+    """docs, with every span of `find_pii` replaced by its kind; other columns and null texts stay. Narrow: no shuffle.
+
+    Null ids, repeated rows and columns of any name come through as they are; an empty table gives an
+    empty table. Spans that overlap become one.
+    """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained(examples, seed))
     return docs.mapInArrow(lambda it: _rewritten(it, model.value, text_col), docs.schema)

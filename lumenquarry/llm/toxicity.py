@@ -168,6 +168,10 @@ def _clean(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_col: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that `toxicity` doesn't call toxic. Narrow: no shuffle."""
+    """The rows of docs, with all their columns, that `toxicity` doesn't call toxic. Narrow: no shuffle.
+
+    Null and empty texts, null ids and repeated rows stay, columns of any name come through; an empty
+    table gives an empty table.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample, id_col, text_col))
     return docs.mapInArrow(lambda it: _clean(it, model.value, text_col), docs.schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import lumenquarry.llm.hpylm as H
+import lumenquarry.llm.toxicity as X
 from lumenquarry.llm import pii as P
 from lumenquarry.llm.ann import CrossPolytope, nearest
 from lumenquarry.llm.toxicity import drop_toxic, toxicity
@@ -125,6 +126,41 @@ def test_toxicity(spark):
     assert toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_by_force():
+    """Probabilities from a sum over words written out, and a fit that no change of a weight or a cut makes better."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}word" for i in range(60)]
+    texts, grades = [], rng.choice(3, 300, p=[0.6, 0.25, 0.15])
+    for g in grades:
+        w = list(rng.choice(vocabulary, 12)) + (["vilest"] if g and rng.random() < 0.8 else []) + (["grubbier"] if g == 2 and rng.random() < 0.7 else [])
+        texts.append(" ".join(w).encode())
+    features = [np.unique(X.text_features([t])[1]) for t in texts]
+    model = X.OrdinalModel.fit(features, grades, rounds=2000)
+    weight = dict(zip(model.used.tolist(), model.values.tolist(), strict=True))
+    got = model.scores(texts)
+    for t, p in zip(texts, got, strict=True):
+        names = {f for w in t.decode().split() for f in X.text_features([w.encode()])[1].tolist()}
+        z = X.SCALE * sum(weight.get(f, 0.0) for f in names)
+        assert np.allclose(p, [1 / (1 + math.exp(c - z)) for c in model.cuts])
+    assert (np.diff(model.cuts) > 0).all() and got.sum(1)[grades == 2].mean() > got.sum(1)[grades == 1].mean() > got.sum(1)[grades == 0].mean()
+
+    balance = np.where(grades > 0, 150 / (grades > 0).sum(), 150 / (grades == 0).sum())
+
+    def loss(weights, cuts):
+        z = np.array([X.SCALE * sum(weights.get(f, 0.0) for f in row) for row in features])
+        p = 1 / (1 + np.exp(cuts - z[:, None]))
+        above = grades[:, None] > np.arange(2)
+        return float((-np.where(above, np.log(p), np.log(1 - p)).sum(1) * balance).mean()) + 3e-5 * sum(map(abs, weights.values()))
+
+    least = loss(weight, model.cuts)
+    for f in rng.choice(np.unique(np.concatenate(features)), 25).tolist():
+        for step in (-1.0, 1.0):
+            assert loss(weight | {f: weight.get(f, 0.0) + step}, model.cuts) > least - 2e-5
+    for k in range(2):
+        for step in (-0.3, 0.3):
+            assert loss(weight, model.cuts + step * (np.arange(2) == k)) > least
+
+
 def lm_by_force(rows):
     toks = [[w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for _, t in rows]
     train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
