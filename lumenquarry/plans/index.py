@@ -29,6 +29,8 @@ LENGTHS = StructType([StructField("n", LongType()), StructField("field", StringT
 #: Folders that postings lie in, by their term's hash: a query reads those of its terms.
 BUCKETS = 64
 FIELDS = ("body", "title", "path")
+#: Rows of a page, and of those before it, that are broadcast at most.
+PAGE_ROWS = 10_000
 #: Members of archives have ids from here on.
 MEMBER_IDS = 1 << 62
 
@@ -302,7 +304,8 @@ class Index:
             one = fts if fts is not None else vec
             scored = top(one, deep).withColumn("score_fts", F.col("score") if fts is not None else F.lit(None).cast("double")).withColumn("score_vec", F.col("score") if fts is None else F.lit(None).cast("double"))
         scored = S.min_max(scored).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-        named = F.broadcast(scored).join(info, "file_id", "left").join(self.chunks().select(*keys, "text"), list(keys), "left")
+        page_rows = F.broadcast(scored) if deep <= PAGE_ROWS else scored  # a page of any size joins; a small one is sent
+        named = page_rows.join(info, "file_id", "left").join(self.chunks().select(*keys, "text"), list(keys), "left")
         page = named.select(
             "rank", "file_id", "chunk_ord", F.coalesce("path", F.concat(F.lit("file#"), F.col("file_id").cast("string"))).alias("path"), F.round("normalized", 6).alias("score"), F.round("score", 6).alias("score_raw"),
             *(["score_fts", "score_vec"] if explain else []), "mime_type", "size", "mtime_ns", "tags", X.snippet(F.col("text"), query.terms or [""]).alias("snippet"),

@@ -16,6 +16,7 @@ from lumenquarry.functions import mime as M
 from lumenquarry.functions import text as X
 from lumenquarry.functions import vectors as V
 from lumenquarry.functions.globs import glob_regex
+from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
 from lumenquarry.operators import manifest as N
@@ -362,6 +363,43 @@ def conversation_records(spark, sf_dir):
 # kinds of files
 
 
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'utf-8' WHEN doc_id % 3 = 1 THEN 'utf-16-le' END AS mark, sha256(text) AS text_sha256 FROM documents")
+def encoding_decode(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+        .otherwise(F.encode("text", "UTF-8"))
+    )
+    return d.select("doc_id", raw.alias("raw")).select("doc_id", B.bom(F.col("raw")).alias("mark"), F.sha2(B.decoded("raw"), 256).alias("text_sha256"))
+
+
+def _by_region(spark, sf_dir, row, whole) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(row)).alias("r")).select("n_regionkey", whole(F.col("r")).alias("text"))
+
+
+@query("""SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY CAST(n_nationkey AS VARCHAR) || ',') - 1 AS INTEGER) AS record_ord,
+  'key: ' || CAST(n_nationkey AS VARCHAR) || '; name: ' || n_name || ', of ' || CAST(n_regionkey AS VARCHAR) AS text FROM nation""")
+def csv_record_texts(spark, sf_dir):
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit(", of "), F.col("n_regionkey").cast("string"), F.lit('"'))
+    texts = _by_region(spark, sf_dir, line, lambda r: F.concat(F.lit("key,name\n"), F.array_join(r, "\n")))
+    return E.csv_records(texts, "n_regionkey", F.col("text"))
+
+
+@query("""SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS record_ord,
+  '{"key":' || CAST(n_nationkey AS VARCHAR) || ',"name":"' || n_name || '"}' AS text FROM nation""")
+def json_record_texts(spark, sf_dir):
+    texts = _by_region(spark, sf_dir, F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), F.to_json)
+    return E.json_records(texts, "n_regionkey", F.col("text"))
+
+
+@query("""SELECT doc_id, CAST(a // 3 AS INTEGER) AS record_ord, array_to_string(list_slice(l, a + 1, a + 3), chr(10)) AS text
+  FROM (SELECT doc_id, l, unnest(range(0, len(l), 3)) AS a FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))""")
+def log_line_batches(spark, sf_dir):
+    return E.log_batches(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 3)
+
+
 @query(
     "WITH n AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || ['.html','.PDF','/Makefile','.tar.gz','.svg','.rs','','/CMakeLists.txt'][CAST(page_id % 8 + 1 AS INT)] AS path FROM pages), e AS (SELECT page_id, list_extract(string_split(path, '/'), -1) AS base FROM n), x AS (SELECT page_id, base, lower(regexp_extract(base, '^.+\\.([^.]+)$', 1)) AS ext FROM e), m AS (SELECT page_id, coalesce(CASE base "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.KNOWN_NAMES.items())
