@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
 from lumenquarry.operators import manifest as N
 from lumenquarry.operators import search as S
+from lumenquarry.operators.embed import Embedder, embedded
+from lumenquarry.plans.stoppable import Stoppable
 from lumenquarry.schema import ARCHIVE_META, CHUNK_LENGTHS, CHUNKS, DOC_META, MANIFEST, MEDIA_META, PROGRESS, RUNS, SCHEMA_VERSION, TAGS, ExitCode, IndexError_, Status
 from lumenquarry.sources.archives import archive_members
 from lumenquarry.sources.catalog import Catalog
@@ -45,6 +48,7 @@ class Stats:
     processed: int
     failed: int
     duration_ms: int
+    cancelled: bool = False
 
 
 @dataclass
@@ -101,6 +105,7 @@ class Index:
     def __init__(self, catalog: Catalog):
         self.catalog, self.spark = catalog, catalog.spark
         self.config = Config.from_toml(catalog.settings())
+        self._run: Stoppable | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, config: Config | None = None) -> Index:
@@ -128,18 +133,42 @@ class Index:
         w = self.config.walk
         return walk(self.spark, tree, w.hidden, w.follow_symlinks, w.gitignore or w.index_ignore).where(~F.col("is_dir"))
 
-    def reconcile(self, tree: str, kind: str = "incremental", only_new: bool = False, verify: bool = False) -> Stats:
+    def reconcile(self, tree: str, kind: str = "incremental", only_new: bool = False, verify: bool = False, seconds: float | None = None) -> Stats:
         """Bring the index up to date with a tree that all executors see. kind 'full' reads every file anew.
 
-        One writer at a time. All tables of the run become current together.
+        One writer at a time. All tables of the run become current together. A run that cancel() or its
+        time (seconds) ends leaves them all as they were and is written down as such.
         """
         if not self.catalog.lock():
             raise IndexError_("another writer holds the lock")
+        started = time.time_ns()
         try:
-            return self._reconcile(tree, kind, only_new, verify)
+            with Stoppable(self.spark, seconds) as self._run:
+                try:
+                    return self._reconcile(tree, kind, only_new, verify)
+                except Exception:  # noqa: BLE001  a cancelled job throws in several ways
+                    if not self._run.stopped:
+                        raise
+            return self._cut_short(kind, started)
         finally:
+            self._run = None
             self.catalog.unlock()
 
+    def cancel(self) -> None:
+        """End the run that another thread is in, if there is one; a run that has committed stays."""
+        run = self._run
+        if run:
+            run.stop()
+
+    def _cut_short(self, kind: str, started: int) -> Stats:
+        took, run_id = (time.time_ns() - started) // 1_000_000, self._next_run()
+        run = self.spark.createDataFrame([(run_id, started, None, kind, "metadata_diff", 0, 0, 0, 0, 0, 0, took, 1, "cancelled")], RUNS)
+        self.catalog.commit({"runs": N.recent_runs(self.catalog.table("runs", RUNS).unionByName(run))})
+        return Stats(run_id, 0, 0, 0, 0, 0, 0, took, cancelled=True)
+
+    def _next_run(self) -> int:
+        return 1 + (self.catalog.table("runs", RUNS).agg(F.max("run_id")).first()[0] or 0)
+
     def _reconcile(self, tree: str, kind: str, only_new: bool, verify: bool) -> Stats:
         started, limits = time.time_ns(), self.config.extraction
         # members of archives are rows of their own, which no walk meets
@@ -209,14 +238,18 @@ class Index:
         indexed = result.where(F.col("n_status") == int(Status.INDEXED)).select("file_id").unionByName(inside.where(F.col("status") == int(Status.INDEXED)).select("file_id"))
         progress = N.without(self.catalog.table("progress", PROGRESS), replaced).unionByName(indexed.select("file_id", F.lit("fts").alias("index_name"), F.lit(SCHEMA_VERSION).alias("schema_ver"), F.lit(started).alias("indexed_at_ns")))
         ended = time.time_ns()
-        run_id = 1 + (self.catalog.table("runs", RUNS).agg(F.max("run_id")).first()[0] or 0)
+        run_id = self._next_run()
         run = self.spark.createDataFrame([(run_id, started, ended, kind, "metadata_diff", counts.new_files + counts.modified + counts.deleted + counts.unchanged, counts.new_files, counts.modified, counts.deleted, counts.unchanged, counts.processed, (ended - started) // 1_000_000, 0, None)], RUNS)
         runs = N.recent_runs(self.catalog.table("runs", RUNS).unionByName(run))
         # only the chunks of this run are split into terms; the postings of all others are carried over
         paths = done.select("file_id", "path").unionByName(inside.select("file_id", "path"))
         fresh = chunk_rows.join(paths.withColumnRenamed("path", "p"), "file_id").join(titles, "file_id", "left")
         text_tables = self._text_tables(fresh, _fields_of(), replaced)
-        self.catalog.commit({"manifest": manifest, "chunks": chunks, "doc_meta": metas, "media_meta": medias, "archive_meta": archives, "progress": progress, "runs": runs} | text_tables, {"last_reconciliation_ns": started}, partition_by={"postings": "bucket"})
+        tables = {"manifest": manifest, "chunks": chunks, "doc_meta": metas, "media_meta": medias, "archive_meta": archives, "progress": progress, "runs": runs} | text_tables
+        if self.catalog.has("vectors"):  # those of texts that changed are of no use; embed() makes new ones
+            tables["vectors"] = N.without(self.catalog.table("vectors", VECTORS), replaced).select(*VECTORS.names)
+        self.catalog.commit(tables, {"last_reconciliation_ns": started}, partition_by={"postings": "bucket"})
+        self._run.done()
         failed = self.manifest().where(F.col("last_verified_ns") == started).where(F.col("status").isin(int(Status.FAILED_TRANSIENT), int(Status.FAILED_PERMANENT))).count()
         for used in (path, text_path, chunk_path):
             self.catalog._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(used), True)
@@ -258,17 +291,37 @@ class Index:
     def put_vectors(self, vectors: DataFrame, dims: int = 256) -> None:
         """Vectors (file_id, chunk_ord, v) of chunks, shortened to dims and scaled; they take the place of those of the same files."""
         short = vectors.select("file_id", F.col("chunk_ord").cast("int").alias("chunk_ord"), V.shortened(V.doubles(F.col("v")), dims).alias("v"))
-        self.catalog.commit({"vectors": N.without(self.catalog.table("vectors", VECTORS), short).unionByName(short)})
+        self.catalog.commit({"vectors": N.without(self.catalog.table("vectors", VECTORS), short).unionByName(short)}, {"dims": dims})
+
+    def embed(self, load: Callable[[], Embedder], dims: int = 256) -> int:
+        """Give every chunk that has no vector one, by the model that load() gives in each task; returns how many were made."""
+        if not self.catalog.lock():
+            raise IndexError_("another writer holds the lock")
+        try:
+            old, keys = self.catalog.table("vectors", VECTORS), ["file_id", "chunk_ord"]
+            made = embedded(self.chunks().join(old.select(*keys), keys, "left_anti"), load)
+            short = made.select(*keys, V.shortened(F.col("v"), dims).alias("v"))
+            before = old.count()
+            self.catalog.commit({"vectors": old.unionByName(short)}, {"dims": dims})
+            return self.catalog.table("vectors", VECTORS).count() - before
+        finally:
+            self.catalog.unlock()
 
     # searching
 
-    def search(self, text: str, mode: str = "auto", filters: S.Filters | None = None, limit: int | None = None, offset: int = 0, vector: list[float] | None = None, explain: bool = False) -> Hits:
-        """Chunks that match, best first. A vector makes the semantic leg; without one, or without vectors, modes fall back to full text."""
+    def search(self, text: str, mode: str = "auto", filters: S.Filters | None = None, limit: int | None = None, offset: int = 0, vector: list[float] | None = None, explain: bool = False, embedder: Embedder | None = None) -> Hits:
+        """Chunks that match, best first. total counts the matches of either leg.
+
+        The query's vector, or a model that gives it one (embedder), makes the semantic leg; without
+        either, or without vectors of chunks, modes fall back to full text.
+        """
         cfg = self.config.search
         limit = cfg.limit if limit is None else limit
-        empty = vector is None or not self.catalog.has("vectors")
-        row = self.spark.range(1).select(X.resolved_mode(F.lit(text), F.lit(mode), F.lit(empty)).alias("m")).first()
+        empty = (vector is None and embedder is None) or not self.catalog.has("vectors")
+        row = self.spark.range(1).select(X.resolved_mode(F.lit(text), F.lit(mode), F.lit(empty)).alias("m"), X.query_prefix(F.lit(text)).alias("q")).first()
         resolved, keys = row["m"], ("file_id", "chunk_ord")
+        if vector is None and resolved != "fts":
+            vector = list(embedder([row["q"]])[0])
         info = self._searchable()
         allowed = info.where(filters.predicate()).select("file_id") if filters else N.live(self.manifest()).select("file_id")
         query = S.parse_query(text)
@@ -285,8 +338,9 @@ class Index:
                 fts = fts.join(d.where(S.query_predicate(query, fields | {"mime": F.col("mime_type"), "lang": F.col("lang")})).select(*keys), list(keys), "left_semi")
         if resolved in ("semantic", "hybrid"):
             q = F.array(*[F.lit(float(x)) for x in vector])
-            vec = self.catalog.table("vectors", VECTORS).join(allowed, "file_id", "left_semi").select(*keys, V.dot(F.col("v"), V.shortened(q, len(vector))).alias("score"))
-        total = (fts if fts is not None else vec).count() if fts is not None or vec is not None else 0
+            vec = self.catalog.table("vectors", VECTORS).join(allowed, "file_id", "left_semi").select(*keys, V.dot(F.col("v"), V.shortened(q, min(len(vector), self.catalog.state()["values"].get("dims", len(vector))))).alias("score"))
+        legs = [leg.select(*keys) for leg in (fts, vec) if leg is not None]
+        total = (legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1]).distinct()).count() if legs else 0
         deep = max(1, limit + offset)
 
         def top(d: DataFrame, n: int) -> DataFrame:
@@ -345,11 +399,11 @@ class Index:
         return self.spark.range(1).select(col.alias("s")).first()["s"]
 
     def refresh(self, tree: str) -> Stats | None:
-        """Reconcile if the index is stale and no writer is at work."""
+        """Reconcile if the index is stale and no writer is at work, within refresh.budget seconds."""
         if not self.config.refresh.enabled or self.staleness() == "fresh":
             return None
         try:
-            return self.reconcile(tree, "auto_refresh", only_new=self.config.refresh.new_only)
+            return self.reconcile(tree, "auto_refresh", only_new=self.config.refresh.new_only, seconds=self.config.refresh.budget)
         except IndexError_:
             return None
 

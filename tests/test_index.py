@@ -1,13 +1,16 @@
 import os
+import threading
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenquarry.operators.embed import embedded
 from lumenquarry.operators.search import Filters
-from lumenquarry.plans.index import LENGTHS, POSTINGS, Index
+from lumenquarry.plans.index import LENGTHS, POSTINGS, VECTORS, Index
 from lumenquarry.plans.render import FORMATS, render
-from lumenquarry.schema import DOC_META, MEDIA_META, ExitCode, IndexError_
+from lumenquarry.schema import DOC_META, MEDIA_META, RUNS, ExitCode, IndexError_
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import contents, walk
 from lumenquarry.streaming.events import event_windows
@@ -128,6 +131,58 @@ def test_structured_files_in_an_index(spark, tmp_path):
     assert fast == {r.field: (r.n, r.average) for r in ix.catalog.table("lengths", LENGTHS).collect()}
 
 
+def letters():
+    return lambda texts: [[float(t.count(c)) + 0.01 for c in "abefh"] for t in texts]
+
+
+def test_vectors_by_a_model(spark, tree, tmp_path):
+    ix = Index.create(spark, str(tmp_path / "idx"))
+    ix.reconcile(str(tree))
+    chunks = ix.chunks().count()
+    assert ix.search("hash", "semantic", embedder=letters()).mode == "fts"  # no vectors yet
+    assert ix.embed(letters, 4) == chunks and ix.embed(letters, 4) == 0
+    rows = {(r.file_id, r.chunk_ord): r.v for r in ix.catalog.table("vectors", VECTORS).collect()}
+    for r in ix.chunks().collect():
+        raw = letters()([r.text])[0][:4]
+        size = sum(x * x for x in raw) ** 0.5
+        assert rows[r.file_id, r.chunk_ord] == pytest.approx([x / size for x in raw])
+    found = ix.search("what is a hash", "hybrid", embedder=letters(), explain=True, limit=2)
+    assert found.mode == "hybrid" and found.total == chunks and found.truncated and found.rows.count() == 2
+    (tree / "notes.txt").write_text("quite another text\n")
+    ix.reconcile(str(tree))
+    assert ix.catalog.table("vectors", VECTORS).count() == chunks - 1 and ix.embed(letters, 4) == 1
+
+
+def test_embedded(spark):
+    rows = spark.createDataFrame([(1, 0, "abba", "x"), (1, 0, "abba", "x"), (2, 0, None, None), (3, 1, "", "y"), (4, 0, "b" * 1_000_000, "z")], "file_id long, chunk_ord int, text string, v string")
+    got = sorted((r.file_id, r.v[:2]) for r in embedded(rows, letters, batch=2).collect())
+    assert got == [(1, [2.01, 2.01]), (1, [2.01, 2.01]), (2, [0.01, 0.01]), (3, [0.01, 0.01]), (4, [0.01, 1_000_000.01])]
+    assert embedded(rows.limit(0), letters).collect() == []
+    with pytest.raises(Exception, match="0 vectors for"):
+        embedded(rows, lambda: lambda texts: []).collect()
+
+
+def test_a_run_that_is_stopped(spark, tree, tmp_path):
+    ix = Index.create(spark, str(tmp_path / "idx"))
+    ix.reconcile(str(tree))
+    (tree / "new.txt").write_text("fresh words\n")
+    cut = ix.reconcile(str(tree), seconds=0)
+    assert cut.cancelled and ix.search("fresh").total == 0 and ix.search("earnings").total == 1
+    last = ix.catalog.table("runs", RUNS).orderBy(F.desc("run_id")).first()
+    assert (last.run_id, last.timed_out, last.completed_ns) == (cut.run_id, 1, None)
+    ix.cancel()  # no run: nothing happens
+    seen = []
+    worker = threading.Thread(target=lambda: seen.append(ix.reconcile(str(tree))))
+    worker.start()
+    while worker.is_alive() and not seen:
+        ix.cancel()
+        time.sleep(0.01)
+    worker.join()
+    assert seen[0].cancelled
+    whole = ix.reconcile(str(tree), seconds=600)
+    assert not whole.cancelled and whole.new_files == 1 and ix.search("fresh").total == 1
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog.create(spark, str(tmp_path / "c"), "[search]\nlimit = 3\n")
     df = spark.range(3)
@@ -171,8 +226,6 @@ def test_progress_of_a_stream(spark, tmp_path):
     spark.streams.addListener(listener)
     try:
         spark.readStream.schema("id long").parquet(str(tmp_path / "p")).writeStream.format("noop").queryName("steps").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-        import time
-
         until = time.time() + 20
         while time.time() < until and not any(p.done for p in seen):
             time.sleep(0.1)
