@@ -61,18 +61,19 @@ def safe_cuts(text: str, size: int = PART_CHARS) -> list[str]:
     return parts
 
 
-def parts_of(text: str) -> Iterator[tuple[str, bool]]:
+def parts_of(text: str, special: tuple[str, ...] = ()) -> Iterator[tuple[str, bool]]:
     """Parts of a text whose tokens, joined, are its own; True marks one that is a single match of the pattern.
 
     Of a run of white space the pattern takes all but the last character as one match, or the whole run
-    at the end of the text; what follows begins with that last character.
+    at the end of the text or before a special string, where texts are split first; else what follows
+    begins with that last character.
     """
     start = 0
     if len(text) > PART_CHARS:
         for m in LONG_SPACE.finditer(text):
             if m.start() > start:
                 yield from ((p, False) for p in safe_cuts(text[start : m.start()]))
-            start = m.end() if m.end() == len(text) else m.end() - 1
+            start = m.end() if m.end() == len(text) or text.startswith(special, m.end()) else m.end() - 1
             yield text[m.start() : start], True
     if start < len(text):
         yield from ((p, False) for p in safe_cuts(text[start:] if start else text))
@@ -80,6 +81,7 @@ def parts_of(text: str) -> Iterator[tuple[str, bool]]:
 
 def encode_batch(enc: tiktoken.Encoding, texts: list[str]) -> list[list[list[int]]]:
     """Token ids of the parts of each text, encoded as one batch; a special string is its token."""
-    parts = [list(parts_of(t)) for t in texts]
+    special = tuple(enc.special_tokens_set)
+    parts = [list(parts_of(t, special)) for t in texts]
     plain = iter(enc.encode_batch([p for some in parts for p, single in some if not single], num_threads=1, allowed_special="all"))
     return [[enc._encode_single_piece(p) if single else next(plain) for p, single in some] for some in parts]

@@ -47,7 +47,7 @@ def test_cuts_change_no_token():
 
 
 def test_long_white_space(spark, library):
-    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x " + " \n" * 700_000 + "y", "q" + "\xa0" * 900_000 + "\xa0r"]
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x " + " \n" * 700_000 + "y", "q" + "\xa0" * 900_000 + "\xa0r", "\n" * 70_000 + "<|endoftext|>" + "\n" * 70_002]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_tokens for r in token_counts(table).orderBy("doc_id").collect()] == [len(w) for w in want]
@@ -63,7 +63,7 @@ def test_runs_of_white_space_are_cut_without_a_change(library, monkeypatch):
     monkeypatch.setattr(tokenizer, "LONG_SPACE", re.compile(tokenizer.LONG_SPACE.pattern.replace("16384", "4")))
     monkeypatch.setattr(tokenizer, "PART_CHARS", 20)
     rng, enc = random.Random(4), default_encoding()
-    texts = ["".join(rng.choice([" ", "    ", "\n\n", "a", "bc", "1", "!", "'s", "é", "\xa0\xa0", "\x1c", "\u3000" * 3]) for _ in range(60)) for _ in range(2000)]
+    texts = ["".join(rng.choice([" ", "    ", "\n\n", "a", "bc", "1", "!", "'s", "é", "\xa0\xa0", "\x1c", "\u3000" * 3, "<|endoftext|>"]) for _ in range(60)) for _ in range(2000)]
     for t, parts in zip(texts, tokenizer.encode_batch(enc, texts), strict=True):
         assert [i for p in parts for i in p] == library.encode(t, add_special_tokens=False).ids
 
