@@ -9,6 +9,7 @@ from lumenquarry.llm.jaccard_join import jaccard_components
 from lumenquarry.llm.matroska import media_features
 from lumenquarry.llm.packing import pack_documents
 from lumenquarry.llm.pii import find_pii
+from lumenquarry.llm.quality import quality
 from lumenquarry.llm.substring_dedup import substring_dedup
 from lumenquarry.llm.token_counts import token_counts
 from lumenquarry.llm.toxicity import toxicity
@@ -19,7 +20,11 @@ def graded(docs):
     return toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "1 as quality", "token"))
 
 
-OPERATORS = {f.__name__: f for f in (token_counts, bpe_round_trip, pack_documents, substring_dedup, jaccard_components, find_pii, media_features, score_texts, graded)}
+def good(docs):
+    return quality(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "token"))
+
+
+OPERATORS = {f.__name__: f for f in (token_counts, bpe_round_trip, pack_documents, substring_dedup, jaccard_components, find_pii, media_features, score_texts, graded, good)}
 COLUMNS = "doc_id long, text string, word string, key long, token long, anchor long, length long, n long, block long, spans string, media binary, row long"
 
 
