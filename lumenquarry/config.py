@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,6 +87,8 @@ class Search:
     path_boost: float = 0.5
     fts_weight: float = 1.0
     ef_search: int = 128
+    fold: bool = True  #: index terms without the marks of Latin letters
+    stemmer: bool = True  #: index stems of English words
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,14 @@ class Config:
     search: Search = field(default_factory=Search)
     archives: Archives = field(default_factory=Archives)
 
+    def changed(self, changes: dict[str, dict[str, object]]) -> Config:
+        """With other values for keys of sections; an unknown section or key is an error."""
+        for section, values in changes.items():
+            known = {f.name for f in fields(getattr(self, section))} if section in {f.name for f in fields(self)} else set()
+            if not set(values) <= known:
+                raise IndexError_(f"settings: no {section}.{', '.join(sorted(set(values) - known))}", ExitCode.CONFIG)
+        return replace(self, **{section: replace(getattr(self, section), **values) for section, values in changes.items()})
+
     @staticmethod
     def from_toml(text: str) -> Config:
         """Every section and key has a default; an unknown key or a value of another kind is an error."""

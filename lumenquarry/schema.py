@@ -6,7 +6,7 @@ from enum import IntEnum
 
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 
 class Status(IntEnum):
@@ -38,7 +38,7 @@ class IndexError_(Exception):
         self.code = code
 
 
-_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType()), "boolean": T.BooleanType()}
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType()), "doubles": T.ArrayType(T.DoubleType()), "boolean": T.BooleanType()}
 
 
 def _struct(text: str) -> T.StructType:
@@ -56,7 +56,12 @@ RUNS = _struct("run_id long,started_ns long,completed_ns long,kind string,method
 CHUNKS = _struct("file_id long,chunk_ord int,byte_start long,byte_end long,block_kind string,text string")
 DOC_META = _struct("file_id long,title string,author string,subject string,creator string,producer string,created_at string,modified_at string,page_count int,word_count int,lang string")
 MEDIA_META = _struct("file_id long,codec string,width int,height int,camera_make string,camera_model string,taken_at string,iso string,focal_length string,aperture string")
-CHUNK_LENGTHS = _struct("file_id long,chunk_ord int,body int,title int,path int")
+#: Of each indexed file: its chunks and the terms of their fields.
+ENTRIES = _struct("file_id long,chunks long,body long,title long,path long")
 ARCHIVE_META = _struct("file_id long,member_count long,total_size long,format string,extraction_status string")
 TAGS = _struct("file_id long,tag string")
-POSTINGS = _struct("term string,file_id long,chunk_ord int,field string,tf long,length long")
+#: part: folder of a segment, by the hash of the term.
+POSTINGS = _struct("file_id long,chunk_ord int,field string,term string,length long,tf long,positions ints,part string")
+BOUNDS = _struct("term string,field string,block long,n long,max_tf long,min_length long")
+LENGTHS = _struct("n long,field string,average double")
+VECTORS = _struct("file_id long,chunk_ord int,v doubles")

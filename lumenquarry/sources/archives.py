@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from lumenquarry.config import Archives
 
-SCHEMA = "path string, member string, depth int, ord int, compressed long, size long, content binary, error string"
+SCHEMA = "archive string, number int, path string, member string, depth int, ord int, compressed long, size long, content binary, error string"
 
 
 class LimitPassed(Exception):
@@ -68,7 +68,7 @@ def _members(raw: bytes, name: str, kind: str, limits: Archives) -> Iterator[tup
 
 
 def expand(path: str, raw: bytes, limits: Archives, depth: int = 1) -> Iterator[tuple]:
-    """Rows of SCHEMA: members by name, archive!/member, and those of archives among them, down to the limit of depth.
+    """Rows of SCHEMA from `path` on: members by name, archive!/member, and those of archives among them, down to the limit of depth.
 
     An unsafe name, a ratio or a total beyond the limits, or broken data gives a row with an error
     and no content; members before it stay.
@@ -101,13 +101,13 @@ def expand(path: str, raw: bytes, limits: Archives, depth: int = 1) -> Iterator[
 
 
 def archive_members(files: DataFrame, limits: Archives = Archives()) -> DataFrame:
-    """SCHEMA from (path, content): narrow, an archive at a time."""
+    """SCHEMA from (path, content): narrow, an archive at a time. archive is the path of the file, number counts its rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for f in frames:
             for path, content in f.itertuples(index=False):
-                rows = list(expand(path, bytes(content), limits)) if content is not None else []
+                rows = [(path, i, *r) for i, r in enumerate(expand(path, bytes(content), limits))] if content is not None else []
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"ord": "Int32", "compressed": "Int64", "size": "Int64"})
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lumenquarry.operators.embed import embedded
 from lumenquarry.operators.search import Filters
-from lumenquarry.plans.index import LENGTHS, POSTINGS, VECTORS, Index
+from lumenquarry.plans.index import Index
 from lumenquarry.plans.render import FORMATS, render
-from lumenquarry.schema import DOC_META, MEDIA_META, RUNS, ExitCode, IndexError_
+from lumenquarry.schema import RUNS, ExitCode, IndexError_
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import contents, walk
 from lumenquarry.streaming.events import event_windows
@@ -115,20 +115,20 @@ def test_structured_files_in_an_index(spark, tmp_path):
     assert [c[1] for c in chunks["data.json"]] == ['{"a":1}', '{"a":2}']
     assert chunks["plain.txt"] == [("paragraph", "first block é", 0, 14), ("paragraph", "second block", 16, 29)]
     assert chunks["main.py"][0][0] == "code" and [c[1] for c in chunks["all.zip!/in/inner.md"]] == ["Inside", "Inside\nburied words"]
-    meta = {r.path: r for r in ix.catalog.table("doc_meta", DOC_META).join(ix.manifest().select("file_id", "path"), "file_id").collect()}
+    meta = {r.path: r for r in ix.content.table("doc_meta").join(ix.manifest().select("file_id", "path"), "file_id").collect()}
     assert meta["web/page.html"].title == "Fine & Dandy" and meta["read.md"].title == "Manual"
-    media = ix.catalog.table("media_meta", MEDIA_META).first()
+    media = ix.content.table("media_meta").first()
     assert (media.file_id, media.codec, media.width, media.height) == (paths["pic.png"].file_id, "png", 12, 34)
     assert ix.search("color").total == 0 and ix.search("dandy").rows.first().path == "web/page.html" and ix.search("buried").total == 1
-    of = lambda p: sorted(map(tuple, ix.catalog.table("postings", POSTINGS).where(F.col("file_id") == p.file_id).collect()))
+    of = lambda p: sorted(tuple(r)[:7] for r in ix.postings().where(F.col("file_id") == p.file_id).collect())
     before = of(paths["read.md"]), ix.search("sail").rows.first().score_raw
     (root / "plain.txt").write_text("another text altogether\n")
     os.remove(root / "all.zip")
     ix.reconcile(str(root))
     assert of(paths["read.md"]) == before[0] and ix.search("buried").total == 0 and ix.search("altogether").total == 1 and ix.search("second").total == 0
-    fast = {r.field: (r.n, r.average) for r in ix.catalog.table("lengths", LENGTHS).collect()}
+    fast = {r.field: (r.n, r.average) for r in ix.lengths().collect()}
     ix.reindex("fts")
-    assert fast == {r.field: (r.n, r.average) for r in ix.catalog.table("lengths", LENGTHS).collect()}
+    assert fast == {r.field: (r.n, r.average) for r in ix.lengths().collect()}
 
 
 def letters():
@@ -141,7 +141,7 @@ def test_vectors_by_a_model(spark, tree, tmp_path):
     chunks = ix.chunks().count()
     assert ix.search("hash", "semantic", embedder=letters()).mode == "fts"  # no vectors yet
     assert ix.embed(letters, 4) == chunks and ix.embed(letters, 4) == 0
-    rows = {(r.file_id, r.chunk_ord): r.v for r in ix.catalog.table("vectors", VECTORS).collect()}
+    rows = {(r.file_id, r.chunk_ord): r.v for r in ix.vectors.table("vectors").collect()}
     for r in ix.chunks().collect():
         raw = letters()([r.text])[0][:4]
         size = sum(x * x for x in raw) ** 0.5
@@ -150,7 +150,7 @@ def test_vectors_by_a_model(spark, tree, tmp_path):
     assert found.mode == "hybrid" and found.total == chunks and found.truncated and found.rows.count() == 2
     (tree / "notes.txt").write_text("quite another text\n")
     ix.reconcile(str(tree))
-    assert ix.catalog.table("vectors", VECTORS).count() == chunks - 1 and ix.embed(letters, 4) == 1
+    assert ix.vectors.table("vectors").count() == chunks - 1 and ix.embed(letters, 4) == 1
 
 
 def test_embedded(spark):
