@@ -86,7 +86,8 @@ class Search:
     title_boost: float = 2.0
     path_boost: float = 0.5
     fts_weight: float = 1.0
-    ef_search: int = 128
+    ef_search: int = 128  #: vectors that are scored after those of the probed lists are ranked by codes
+    probes: int = 16  #: inverted lists that a query reads
     fold: bool = True  #: index terms without the marks of Latin letters
     stemmer: bool = True  #: index stems of English words
 

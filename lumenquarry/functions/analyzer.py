@@ -65,21 +65,31 @@ class Analyzer:
             self._known[token] = found
         return found
 
+    def _pattern(self, text: str):
+        """Marks after a letter belong to it, so decomposed texts give the terms of composed ones."""
+        return _TOKEN if text.isascii() or not self.fold and unicodedata.is_normalized("NFC", text) else _TOKEN_AND_MARKS
+
     def spans(self, text: str) -> Iterator[tuple[str | None, int, int]]:
-        """(term, start, end) of every token. Marks after a letter belong to it, so decomposed texts give the terms of composed ones."""
-        pattern = _TOKEN if text.isascii() or not self.fold and unicodedata.is_normalized("NFC", text) else _TOKEN_AND_MARKS
-        for m in pattern.finditer(text):
+        """(term, start, end) of every token."""
+        for m in self._pattern(text).finditer(text):
             yield self.term(m[0]), m.start(), m.end()
 
     def positions(self, text: str) -> tuple[dict[str, list[int]], int]:
         """(positions of each term, number of tokens that are terms)."""
         out: dict[str, list[int]] = {}
-        n = 0
-        for at, (term, _, _) in enumerate(self.spans(text)):
-            if term is not None:
-                out.setdefault(term, []).append(at)
-                n += 1
-        return out, n
+        tokens, long = self._pattern(text).findall(text), 0
+        known, term_of = self._known, self.term
+        for at, token in enumerate(tokens):
+            term = known.get(token, "")
+            if term == "":
+                term = term_of(token)
+            if term is None:
+                long += 1
+            elif term in out:
+                out[term].append(at)
+            else:
+                out[term] = [at]
+        return out, len(tokens) - long
 
     def words(self, text: str) -> list[str | None]:
         """The terms of a query's words, in order; None stands for a token that is too long."""

@@ -20,13 +20,13 @@ BLOCK_BITS = 7
 SLACK = 1e-9
 
 
-def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ...] = ("file_id",), analyzer: Analyzer | None = None) -> DataFrame:
+def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ...] = ("file_id",), analyzer: Analyzer | None = None, only: list[str] | None = None) -> DataFrame:
     """(keys, field, term, length, tf, positions): a row for each term of a field of a chunk. Narrow: a chunk's terms are counted where it is.
 
     Positions count the tokens of the field from 0, those without a term too; length counts terms.
-    Null fields have none.
+    Null fields have none. only: terms whose rows are wanted; lengths stay those of whole fields.
     """
-    analyzer = analyzer or Analyzer()
+    analyzer, wanted = analyzer or Analyzer(), None if only is None else frozenset(only)
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
     columns = {f"_{i}": name for i, name in enumerate(fields)}
     rows = chunks.select(*keys, *(c.cast("string").alias(n) for n, c in zip(columns, fields.values())))
@@ -42,7 +42,7 @@ def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ..
             for column, name in columns.items():
                 for i, text in enumerate(batch.column(column).to_pylist()):
                     found, n = analyzer.positions(text or "")
-                    for t, at in found.items():
+                    for t, at in found.items() if wanted is None else ((t, found[t]) for t in wanted & found.keys()):
                         row.append(i), field.append(name), term.append(t), length.append(n), tf.append(len(at)), places.append(at)
                     if len(row) >= BATCH_ROWS:
                         yield flushed()

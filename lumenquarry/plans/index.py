@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,13 @@ from lumenquarry.functions.analyzer import Analyzer
 from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
+from lumenquarry.operators import ivf as I
 from lumenquarry.operators import manifest as N
 from lumenquarry.operators import postings as P
 from lumenquarry.operators import search as S
 from lumenquarry.operators.embed import Embedder, embedded
 from lumenquarry.plans.stoppable import Stoppable
-from lumenquarry.schema import ARCHIVE_META, BOUNDS, CHUNKS, DOC_META, ENTRIES, LENGTHS, MANIFEST, MEDIA_META, POSTINGS, PROGRESS, RUNS, SCHEMA_VERSION, TAGS, VECTORS, ExitCode, IndexError_, Status
+from lumenquarry.schema import ARCHIVE_META, BOUNDS, CHUNKS, DOC_META, ENTRIES, LENGTHS, MANIFEST, MEDIA_META, POSTINGS, PROGRESS, QUANTIZER, RUNS, SCHEMA_VERSION, TAGS, VECTORS, ExitCode, IndexError_, Status
 from lumenquarry.sources.archives import archive_members
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import walk, with_contents
@@ -37,6 +39,8 @@ KEYS = ("file_id", "chunk_ord")
 FIELDS = ("body", "title", "path")
 #: Rows of a page, and of those before it, that are broadcast at most.
 PAGE_ROWS = 10_000
+#: Times as many vectors as the lists were trained for, from which on compacting trains them anew.
+RETRAINED = 4
 #: Ranks of each leg that a hybrid search fuses, at least.
 HYBRID_DEPTH = 100
 #: Members of archives have ids from here on: that of their archive and a number below it.
@@ -76,6 +80,8 @@ def _folder(folders: F.Column | int, term) -> F.Column:
 
 def _laid_out(name: str, rows: DataFrame, written: Written) -> DataFrame:
     """Postings in folders by term, whose number follows the segment's chunks; within one dealt by ranges of blocks, sorted by term and file."""
+    if name == "vectors":
+        return rows.sortWithinPartitions("list")
     if name != "postings":
         return rows
     chunks = written["entries"].agg(F.sum("chunks")).first()[0] or 0
@@ -139,7 +145,7 @@ class Index:
             catalog, "content", {"chunks": CHUNKS, "postings": POSTINGS, "doc_meta": DOC_META, "media_meta": MEDIA_META, "archive_meta": ARCHIVE_META, "progress": PROGRESS}, ENTRIES,
             partition_by={"postings": "part"}, layout=_laid_out, derived={"bounds": (BOUNDS, _heavy_bounds)},
         )
-        self.vectors = Segments(catalog, "vectors", {"vectors": VECTORS}, FILE)
+        self.vectors = Segments(catalog, "vectors", {"vectors": VECTORS}, FILE, layout=_laid_out)
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, config: Config | None = None) -> Index:
@@ -219,11 +225,12 @@ class Index:
         old, old_members = everything.where("parent_archive_id is null"), everything.where("parent_archive_id is not null")
         change = N.diff(seen, old)
         todo = ["new"] if only_new else ["new", "modified", "unchanged"] if kind == "full" or verify else ["new", "modified"]
-        counts = N.counts(change).first()
         merged = N.upsert(old, seen, started)
         facts = seen.select("path", "path_raw", "ctime_ns", "inode", "dev", "mode", "uid", "gid")
         carried = old.select("path", F.col("content_hash").alias("o_hash"), F.col("mime_type").alias("o_mime"), F.col("status").alias("o_status"), F.col("last_verified_ns").alias("o_verified"))
-        rows = merged.join(change.select("path", "change"), "path").join(facts, "path", "left").join(carried, "path", "left")
+        # one walk for all steps: kept by the executors, not written, since most of it doesn't change
+        rows = merged.join(change.select("path", "change"), "path").join(facts, "path", "left").join(carried, "path", "left").persist()
+        counts = N.counts(rows.select("change")).first()
         work = rows.where(F.col("change").isin(*todo)).select("file_id", "path", "size", "fail_count")
         small, large = work.where(F.col("size") <= limits.max_file_size), work.where(F.col("size") > limits.max_file_size)
         read = with_contents(small, tree).unionByName(large.withColumn("content", F.lit(None).cast("binary"))).withColumn("mime_type", M.detect(F.col("path"), F.col("content")))
@@ -290,6 +297,7 @@ class Index:
         self._run.done()
         self.merge()
         failed = self.manifest().where(F.col("last_verified_ns") == started).where(F.col("status").isin(int(Status.FAILED_TRANSIENT), int(Status.FAILED_PERMANENT))).count()
+        rows.unpersist()
         for used in ("", "-text", "-chunks", "-postings", "-replaced", "-manifest"):
             self.catalog.delete(path + used)
         return Stats(run_id, counts.new_files, counts.modified, counts.deleted, counts.unchanged, counts.processed, failed, (time.time_ns() - started) // 1_000_000)
@@ -342,15 +350,37 @@ class Index:
             self._add_vectors(short, dims, replace=True)
             self.merge()
 
+    def _quantizer(self) -> I.Quantizer | None:
+        rows = [tuple(r) for r in self.catalog.table("quantizer", QUANTIZER).collect()]
+        return I.Quantizer.of(rows) if rows else None
+
+    def stored_vectors(self) -> DataFrame:
+        """(file_id, chunk_ord, v): vectors as they are stored, to 16-bit floats."""
+        return I.unpacked(self.vectors.table("vectors"), KEYS)
+
     def _add_vectors(self, short: DataFrame, dims: int, replace: bool) -> int:
         path = f"{self.catalog.root}/{self.catalog.new_folder('fresh-vectors')}"
         rows = self._kept(short, path)
-        ids = rows.select("file_id").distinct()
-        self.catalog.commit({}, {"dims": dims}, self.vectors.added({"entries": ids, "vectors": rows}, ids if replace else None))
+        ids, quantizer = rows.select("file_id").distinct(), self._quantizer()
+        added = self.vectors.added({"entries": ids, "vectors": I.encoded(rows, quantizer).select(*VECTORS.names)}, ids if replace else None)
+        self.catalog.commit({}, {"dims": dims}, added)
+        if quantizer is None:
+            self._train()
         n = rows.count()
         self.catalog.delete(path)
         return n
 
+    def _train(self) -> bool:
+        """Train inverted lists and codes on a sample of the stored vectors and deal all of them anew; False if they are too few."""
+        rows = self.stored_vectors()
+        quantizer = I.trained(rows, F.concat_ws("-", *KEYS))
+        if quantizer is None:
+            return False
+        table = self.spark.createDataFrame(quantizer.rows(), QUANTIZER)
+        n = rows.count()
+        self.catalog.commit({"quantizer": table}, {"trained_on": n}, self.vectors.merged(instead={"vectors": I.encoded(rows, quantizer).select(*VECTORS.names)}))
+        return True
+
     def embed(self, load: Callable[[], Embedder], dims: int = 256) -> int:
         """Give every chunk that has no vector one, by the model that load() gives in each task; returns how many were made."""
         with self.catalog.writing():
@@ -362,11 +392,12 @@ class Index:
 
     # searching
 
-    def search(self, text: str, mode: str = "auto", filters: S.Filters | None = None, limit: int | None = None, offset: int = 0, vector: list[float] | None = None, explain: bool = False, embedder: Embedder | None = None) -> Hits:
+    def search(self, text: str, mode: str = "auto", filters: S.Filters | None = None, limit: int | None = None, offset: int = 0, vector: list[float] | None = None, explain: bool = False, embedder: Embedder | None = None, exact: bool = False) -> Hits:
         """Chunks that match, best first. total counts the matches of either leg.
 
         The query's vector, or a model that gives it one (embedder), makes the semantic leg; without
-        either, or without vectors of chunks, modes fall back to full text.
+        either, or without vectors of chunks, modes fall back to full text. exact: compare all vectors
+        instead of those of the nearest lists.
         """
         cfg = self.config.search
         limit = cfg.limit if limit is None else limit
@@ -398,10 +429,7 @@ class Index:
                 scores = S.bm25(hits.where(F.col("term").isin(*terms)), self.lengths(), terms, boosts, keys)
                 fts = best = scores.join(keep, list(keys), "left_semi")
         if resolved in ("semantic", "hybrid"):
-            q = F.array(*[F.lit(float(x)) for x in vector])
-            rows = self.vectors.table("vectors")
-            rows = rows if allowed is None else rows.join(allowed, "file_id", "left_semi")
-            vec = rows.select(*keys, V.dot(F.col("v"), V.shortened(q, min(len(vector), self.catalog.state()["values"].get("dims", len(vector))))).alias("score"))
+            near, vec = self._near(vector, max(deep, HYBRID_DEPTH), allowed, exact)
         legs = [leg.select(*keys) for leg in (fts, vec) if leg is not None]
         total = (legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1]).distinct()).count() if legs else 0
 
@@ -413,11 +441,11 @@ class Index:
             scored = self.spark.createDataFrame([], "file_id long, chunk_ord int, score double, rank int, score_fts double, score_vec double")
         elif fts is not None and vec is not None:
             wide = max(deep, HYBRID_DEPTH)
-            a, b = top(best, wide).select(*keys, F.col("rank").alias("ra"), F.col("score").alias("score_fts")), top(vec, wide).select(*keys, F.col("rank").alias("rb"), F.col("score").alias("score_vec"))
+            a, b = top(best, wide).select(*keys, F.col("rank").alias("ra"), F.col("score").alias("score_fts")), top(near, wide).select(*keys, F.col("rank").alias("rb"), F.col("score").alias("score_vec"))
             both = a.join(b, list(keys), "full_outer")
             scored = top(both.withColumn("score", S.rrf(F.col("ra"), F.col("rb"), cfg.rrf_k, cfg.fts_weight)), deep)
         else:
-            one = best if fts is not None else vec
+            one = best if fts is not None else near
             scored = top(one, deep).withColumn("score_fts", F.col("score") if fts is not None else F.lit(None).cast("double")).withColumn("score_vec", F.col("score") if fts is None else F.lit(None).cast("double"))
         scored = S.min_max(scored).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
         page_rows = F.broadcast(scored) if deep <= PAGE_ROWS else scored  # a page of any size joins; a small one is sent
@@ -429,6 +457,17 @@ class Index:
         warning = "no vectors: full text instead" if mode in ("semantic", "hybrid") and resolved == "fts" else None
         return Hits(page.orderBy("rank"), resolved, total, total > offset + limit, warning, skipped)
 
+    def _near(self, vector: list[float], k: int, allowed: DataFrame | None, exact: bool) -> tuple[DataFrame, DataFrame]:
+        """(keys, score) of the nearest chunks of the probed lists, and the keys of all that have a vector."""
+        dims = self.catalog.state()["values"].get("dims", len(vector))
+        short = self.spark.range(1).select(V.shortened(F.array(*[F.lit(float(x)) for x in vector]), min(len(vector), dims)).alias("q")).first()["q"]
+        quantizer = None if exact else self._quantizer()
+        restricted = lambda d: d if allowed is None else d.join(allowed, "file_id", "left_semi")
+        lists = None if quantizer is None else F.col("list").isin(*(int(x) for x in quantizer.probes(np.asarray(short, np.float32), self.config.search.probes)))
+        rows = restricted(self.vectors.table("vectors", lists))
+        reranked = None if quantizer is None else max(1, -(-max(self.config.search.ef_search, k) // k))
+        return I.search(rows, quantizer, short, k, KEYS, probes=self.config.search.probes, reranked=reranked), restricted(self.vectors.table("vectors")).select(*KEYS)
+
     def _hits(self, terms: set[str]) -> DataFrame:
         """Postings of terms, read from their folders of each segment, with the segment."""
         if not terms:
@@ -541,7 +580,7 @@ class Index:
         """Rebuild from the chunks ('fts'), or forget vectors ('vectors'), or both ('all')."""
         with self.catalog.writing():
             if target in ("vectors", "all"):
-                self.catalog.commit({}, change=self.vectors.cleared())
+                self.catalog.commit({"quantizer": self.spark.createDataFrame([], QUANTIZER)}, change=self.vectors.cleared())
             if target in ("fts", "all") and self.content:
                 named = self.manifest().select("file_id", F.col("path").alias("p"))
                 fresh = self.chunks().join(named, "file_id").join(self.content.table("doc_meta").select("file_id", "title"), "file_id", "left")
@@ -557,6 +596,9 @@ class Index:
             gone = self.manifest().where(F.col("status") == int(Status.DELETED)).select("file_id")
             self.catalog.commit({}, change=self.files.removed(gone))
             self.catalog.commit({}, change=both(*(g.merged() for g in (self.files, self.content, self.vectors))))
+            trained_on = self.catalog.state()["values"].get("trained_on", 0)
+            if trained_on and self.vectors.table("vectors").count() >= RETRAINED * trained_on:
+                self._train()
             return self.catalog.vacuum()
 
     def checkpoint(self) -> int:

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from lumenquarry.functions import mime as M
 from lumenquarry.functions import text as X
 from lumenquarry.functions import vectors as V
+from lumenquarry.functions.analyzer import Analyzer
 from lumenquarry.functions.globs import glob_regex
 from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
+from lumenquarry.operators import ivf as I
 from lumenquarry.operators import manifest as N
+from lumenquarry.operators import postings as P
 from lumenquarry.operators import search as S
 from lumenquarry.streaming.events import event_windows
 
@@ -598,3 +601,59 @@ def run_gaps(spark, sf_dir):
 def event_windows_hourly(spark, sf_dir):
     w = event_windows(table(spark, sf_dir, "events"), "1 hour")
     return w.select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# positional postings and stored vectors
+
+PLAIN = Analyzer(fold=False, stemmed=False)
+ALL_TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _positional(spark, sf_dir, fields: dict, analyzer: Analyzer = PLAIN, only: list[str] | None = None) -> DataFrame:
+    return P.positional(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file_id"), fields, analyzer=analyzer, only=only)
+
+
+@query(f"WITH t AS (SELECT doc_id AS file_id, ' ' || array_to_string({ALL_TOK.format('text')}, ' ') || ' ' AS t FROM documents) SELECT file_id FROM t WHERE (contains(t, ' public license ') OR contains(t, ' under the mit license ')) AND NOT contains(t, ' clown ')")
+def postings_phrase(spark, sf_dir):
+    """Phrases and exclusions from positions alone."""
+    q = P.analyzed(S.parse_query('"public license" "under the MIT license" NOT clown'), PLAIN, ("body",))
+    hits = _positional(spark, sf_dir, {"body": F.col("text")}, only=["public", "license", "under", "the", "mit", "clown"])
+    return P.matching(hits, q, ("file_id",))
+
+
+@query(f"WITH t AS (SELECT doc_id AS file_id, lang, {ALL_TOK.format('text')} AS w, {ALL_TOK.format('split_part(text, chr(10), 1)')} AS h FROM documents) SELECT file_id FROM t WHERE (lang = 'en' AND list_contains(h, 'the')) OR (contains(' ' || array_to_string(h, ' ') || ' ', ' de la ') AND NOT list_contains(w, 'license'))")
+def postings_field_boolean(spark, sf_dir):
+    """Terms and phrases of one field, joined by AND, OR and NOT, and a property of the file."""
+    clauses = [P.analyzed(S.parse_query(part), PLAIN, ("body", "title"))[0] for part in ("lang:en AND title:the", 'title:"de la" AND NOT body:license')]
+    hits = _positional(spark, sf_dir, {"body": F.col("text"), "title": F.element_at(F.split("text", "\n"), 1)}, only=["the", "de", "la", "license"])
+    named = hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang"), "file_id")
+    return P.matching(named, clauses, ("file_id",), {"lang": F.col("lang")})
+
+
+@query("WITH " + bm25_sql([("body", "text", 1.0)], "documents", "doc_id", ["license", "clown", "public"]) + " " + _top("scored", "doc_id", 25))
+def postings_topk_blocks(spark, sf_dir):
+    """The best documents, scoring only blocks of postings whose bound reaches the threshold."""
+    hits = _positional(spark, sf_dir, {"body": F.col("text")}, only=["license", "clown", "public"]).drop("positions").cache()  # read by each step, as stored postings are
+    lengths = S.field_lengths(table(spark, sf_dir, "documents"), {"body": F.col("text")})
+    best, _ = P.top_k(hits, P.block_bounds(hits), lengths, ["license", "clown", "public"], {"body": 1.0}, 25)
+    return S.ranked(best.withColumnRenamed("file_id", "doc_id"), 25, "doc_id")
+
+
+@query()
+def stemmed_term_stats(spark, sf_dir):
+    """Folded stems of all texts: documents and occurrences."""
+    p = _positional(spark, sf_dir, {"body": F.col("text")}, Analyzer())
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+
+
+@query("WITH scored AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, " + Q0 + ") " + _top("scored", "vec_id", 10))
+def vector_ivf_exact(spark, sf_dir):
+    """The nearest rows by inverted lists, whose radii rule out the lists that can't hold one."""
+    v = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    want = [float(x) for x in v.where("vec_id = 0").first()["v"]]
+    quantizer = I.trained(v, F.col("vec_id"))
+    if quantizer is None:
+        return S.knn(v, want, 10, vector="v")
+    rows = I.encoded(v, quantizer)
+    best, _ = I.search_exactly(rows, quantizer, I.radii(rows, quantizer), want, 10)
+    return S.ranked(best, 10, "vec_id")

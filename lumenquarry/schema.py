@@ -64,4 +64,6 @@ TAGS = _struct("file_id long,tag string")
 POSTINGS = _struct("file_id long,chunk_ord int,field string,term string,length long,tf long,positions ints,part string")
 BOUNDS = _struct("term string,field string,block long,n long,max_tf long,min_length long")
 LENGTHS = _struct("n long,field string,average double")
-VECTORS = _struct("file_id long,chunk_ord int,v doubles")
+#: Vectors of chunks as 16-bit floats, with their inverted list and the codes of what they lack from its centroid.
+VECTORS = _struct("file_id long,chunk_ord int,list int,codes binary,half binary")
+QUANTIZER = T.StructType([T.StructField("kind", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("values", T.ArrayType(T.FloatType()))])
