@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lumenquarry.functions.globs import glob_match
@@ -39,27 +39,31 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, average: Colu
 
 
 def bm25_scan(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of the documents that hold any of the terms, without an index: one pass, one row of statistics.
+    """Scores of the documents that hold any of the terms, without an index: each text is read and matched once.
 
     Each document's frequencies of the query's terms are counted in its text, without an array of its
-    tokens, so nothing but sums is shuffled; the statistics are a single row. Columns: key, keep, score
-    and has_<i> for each term.
+    tokens. Counts and mean lengths over all documents are observed on the way; what is kept, by the
+    executors, is a few numbers for each document that holds a term, which the scores are made of. The
+    first step runs when this is called. Columns: key, keep, score and has_<i> for each term.
     """
     names = list(fields)
     d = docs.select(F.col(key), *(F.col(c) for c in keep), *(F.lower(fields[f][0]).alias(f"t_{f}") for f in names))
     tf = {(f, i): F.coalesce(token_count(F.col(f"t_{f}"), [t]), F.lit(0)) for f in names for i, t in enumerate(terms)}
     d = d.select(key, *keep, *(F.coalesce(token_count(F.col(f"t_{f}")), F.lit(-1)).alias(f"len_{f}") for f in names), *(c.alias(f"tf_{f}_{i}") for (f, i), c in tf.items()))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in names), *(F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf))
-    d = d.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for (f, i) in tf:
-        w = bm25_weight(F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}"), F.col("n"), F.col(f"len_{f}"), F.col(f"avg_{f}"))
-        score = score + F.when(F.col(f"tf_{f}_{i}") > 0, fields[f][1] * w).otherwise(0.0)
+    seen = Observation()
+    d = d.observe(seen, F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"avg_{f}") for f in names), *(F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i in tf))
     has = [F.greatest(*(F.col(f"tf_{f}_{i}") for f in names), F.lit(0)) > 0 for i in range(len(terms))]
     any_ = has[0]
     for h in has[1:]:
         any_ = any_ | h
-    return d.where(any_).select(key, *keep, score.alias("score"), *(h.alias(f"has_{i}") for i, h in enumerate(has)))
+    hits = d.where(any_).persist()
+    hits.count()
+    known = {k: F.lit(v) for k, v in seen.get.items()}  # one row
+    score = F.lit(0.0)
+    for f, i in tf:
+        w = bm25_weight(F.col(f"tf_{f}_{i}"), known[f"df_{f}_{i}"], known["n"], F.col(f"len_{f}"), known[f"avg_{f}"])
+        score = score + F.when(F.col(f"tf_{f}_{i}") > 0, fields[f][1] * w).otherwise(0.0)
+    return hits.select(key, *keep, score.alias("score"), *(h.alias(f"has_{i}") for i, h in enumerate(has)))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], boosts: dict[str, float], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:

@@ -20,12 +20,13 @@ from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
 from lumenquarry.operators import ivf as I
+from lumenquarry.operators import language as L
 from lumenquarry.operators import manifest as N
 from lumenquarry.operators import postings as P
 from lumenquarry.operators import search as S
 from lumenquarry.operators.embed import Embedder, embedded
 from lumenquarry.plans.stoppable import Stoppable
-from lumenquarry.schema import ARCHIVE_META, BOUNDS, CHUNKS, DOC_META, ENTRIES, LENGTHS, MANIFEST, MEDIA_META, POSTINGS, PROGRESS, QUANTIZER, RUNS, SCHEMA_VERSION, TAGS, VECTORS, ExitCode, IndexError_, Status
+from lumenquarry.schema import ARCHIVE_META, BOUNDS, CHUNKS, DOC_META, ENTRIES, LANGUAGES, LENGTHS, MANIFEST, MEDIA_META, POSTINGS, PROGRESS, QUANTIZER, RUNS, SCHEMA_VERSION, TAGS, VECTORS, ExitCode, IndexError_, Status
 from lumenquarry.sources.archives import archive_members
 from lumenquarry.sources.catalog import Catalog
 from lumenquarry.sources.files import walk, with_contents
@@ -275,7 +276,7 @@ class Index:
         chunk_rows = self._kept(chunk_rows, f"{path}-chunks")
         titles = text.select("file_id", "title")
         read_as = F.when(F.col("extractor") == "html", E.html_text(F.col("text"))).otherwise(F.col("text"))
-        meta = done.drop("title").join(titles, "file_id", "left").select("file_id", F.nullif("title", F.lit("")).alias("title"), *(F.col("meta")[n].alias(n) for n in ("author", "subject", "creator", "producer")), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.lit(None).cast("int").alias("page_count"), X.word_count(F.coalesce(read_as, F.lit(""))).alias("word_count"), X.language(read_as).alias("lang"))
+        meta = done.drop("title").join(titles, "file_id", "left").select("file_id", F.nullif("title", F.lit("")).alias("title"), *(F.col("meta")[n].alias(n) for n in ("author", "subject", "creator", "producer")), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.lit(None).cast("int").alias("page_count"), X.word_count(F.coalesce(read_as, F.lit(""))).alias("word_count"), self._language()(read_as).alias("lang"))
         media = done.where("extractor = 'image' and error is null").select("file_id", *(F.col("meta")[n].cast(MEDIA_META[n].dataType).alias(n) for n in MEDIA_META.names[1:]))
         rollup = members.groupBy(F.col("archive").alias("path")).agg(F.count("member").alias("member_count"), F.sum("size").alias("total_size"), F.max("error").alias("worst"))
         archives = rollup.join(done.select("path", "file_id", "mime_type"), "path").select("file_id", "member_count", "total_size", F.col("mime_type").alias("format"), F.when(F.col("worst").isNull(), "complete").otherwise("partial").alias("extraction_status"))
@@ -302,6 +303,17 @@ class Index:
             self.catalog.delete(path + used)
         return Stats(run_id, counts.new_files, counts.modified, counts.deleted, counts.unchanged, counts.processed, failed, (time.time_ns() - started) // 1_000_000)
 
+    def _language(self) -> Callable[[F.Column], F.Column]:
+        rows = [tuple(r) for r in self.catalog.table("languages", LANGUAGES).collect()]
+        return L.LanguageModel.of(rows).column(self.spark) if rows else X.language
+
+    def learn_languages(self, docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
+        """Tell languages apart as these texts are told apart; for texts that are read from now on. Without it, common words decide."""
+        model_rows = L.gram_rows(L.gram_counts(docs, F.col(text), F.col(lang)))
+        with self.catalog.writing():
+            self.catalog.commit({"languages": model_rows})
+        return [r["lang"] for r in self.catalog.table("languages", LANGUAGES).select("lang").distinct().orderBy("lang").collect()]
+
     def _kept(self, rows: DataFrame, path: str) -> DataFrame:
         """Rows of a run as a table of its own, which later steps read."""
         rows.write.parquet(path)

@@ -21,6 +21,7 @@ from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
 from lumenquarry.operators import extract as E
 from lumenquarry.operators import ivf as I
+from lumenquarry.operators import language as L
 from lumenquarry.operators import manifest as N
 from lumenquarry.operators import postings as P
 from lumenquarry.operators import search as S
@@ -148,7 +149,8 @@ def fts_boolean_and_or_not(spark, sf_dir):
     q = S.parse_query("license AND version NOT clown")
     terms = ["license", "version", "clown"]
     d = table(spark, sf_dir, "documents")
-    scored = S.bm25_scan(d, "doc_id", _body(), terms, keep=("text",)).where(S.query_predicate(q, {"body": F.col("text")}))
+    d = d.withColumn("holds", S.query_predicate(q, {"body": F.col("text")}))
+    scored = S.bm25_scan(d, "doc_id", _body(), terms, keep=("holds",)).where("holds")
     return S.ranked(scored.select("doc_id", "score"), 50, "doc_id")
 
 
@@ -646,6 +648,14 @@ def stemmed_term_stats(spark, sf_dir):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
 
+@query()
+def language_trigrams(spark, sf_dir):
+    """The language of every text by a model of the texts of three folds of four, beside the given one."""
+    d = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    model = L.LanguageModel.fit(L.gram_counts(d.where("not held_out"), F.col("text"), F.col("lang")))
+    return d.select("doc_id", "lang", "held_out", model.column(spark)(F.col("text")).alias("predicted"))
+
+
 @query("WITH scored AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, " + Q0 + ") " + _top("scored", "vec_id", 10))
 def vector_ivf_exact(spark, sf_dir):
     """The nearest rows by inverted lists, whose radii rule out the lists that can't hold one."""

@@ -59,6 +59,7 @@ MEDIA_META = _struct("file_id long,codec string,width int,height int,camera_make
 #: Of each indexed file: its chunks and the terms of their fields.
 ENTRIES = _struct("file_id long,chunks long,body long,title long,path long")
 ARCHIVE_META = _struct("file_id long,member_count long,total_size long,format string,extraction_status string")
+LANGUAGES = _struct("lang string,gram string,n long,total long")
 TAGS = _struct("file_id long,tag string")
 #: part: folder of a segment, by the hash of the term.
 POSTINGS = _struct("file_id long,chunk_ord int,field string,term string,length long,tf long,positions ints,part string")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import stat
+import time
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lumenquarry.functions.globs import IgnoreRules
 from lumenquarry.schema import WALK
@@ -17,34 +20,60 @@ IGNORE_FILES = (".gitignore", ".lumenignore")
 INDEX_DIR = ".lumenquarry"
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        super().__init__(folder)
-        self.folder, self.deep = folder, deep
+#: Tasks that a walk is split into, if the tree has as many folders; folders that the driver lists to find them, for each of those.
+TASKS, LISTED = 64, 4
 
 
-class _WalkReader(DataSourceReader):
-    """One partition for each folder below the root, and one for what lies in the root itself."""
+@lru_cache(maxsize=4096)
+def _compiled(text: str) -> IgnoreRules:
+    return IgnoreRules(text)
+
+
+class _Folders(InputPartition):
+    """Folders of one task: with everything below (deep), or only the files in them. since: no row that hasn't changed after it, until: none that has changed later."""
+
+    def __init__(self, folders: list[tuple[str, bool]], since: int | None = None, until: int | None = None):
+        super().__init__(folders)
+        self.folders, self.since, self.until = folders, since, until
+
+
+class _Walker:
+    """The tree is split breadth-first: folders are opened from the root down until there are enough of them to deal out."""
 
     def __init__(self, options: dict[str, str]):
         self.root = os.path.abspath(options["path"])
+        self.real = os.path.realpath(self.root)
         flag = lambda name, default: options.get(name, default).lower() == "true"
         self.hidden, self.links, self.rules = flag("hidden", "true"), flag("followsymlinks", "true"), flag("ignorefiles", "true")
-
-    def partitions(self) -> list[_Folder]:
-        subs = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=self.links))
-        return [_Folder(self.root, False), *(_Folder(s, True) for s in subs)]
-
-    def read(self, part: _Folder) -> Iterator[tuple]:
-        texts = self._texts(self.root)
-        here = self.root
-        for name in os.path.relpath(part.folder, self.root).split(os.sep)[:-1]:
-            here = os.path.join(here, name)
-            texts = texts + self._texts(here)
-        name = os.path.basename(part.folder)
-        if part.deep and (name == INDEX_DIR or (not self.hidden and name.startswith(".")) or self._ignored(part.folder + "/", texts)):
-            return
-        yield from self._walk(part.folder, texts, part.deep, set())
+        self.tasks = int(options.get("tasks", TASKS))
+
+    def split(self) -> list[list[tuple[str, bool]]]:
+        """Lists of (folder, deep): each folder of the tree is in just one of them."""
+        opened, waiting = [], deque([(self.root, self._texts(self.root), frozenset())])
+        while waiting and len(waiting) < self.tasks and len(opened) < LISTED * self.tasks:
+            folder, texts, above = waiting.popleft()
+            opened.append(folder)
+            for path, is_folder, _, inner, chain in self._entries(folder, texts, above):
+                if is_folder:
+                    waiting.append((path, inner, chain))
+        parts = [[(f, True)] for f, _, _ in waiting]
+        size = max(1, -(-len(opened) // self.tasks))
+        return parts + [[(f, False) for f in opened[i : i + size]] for i in range(0, len(opened), size)]
+
+    def rows(self, part: _Folders) -> Iterator[tuple]:
+        for folder, deep in part.folders:
+            texts, above, here = self._texts(self.root), set(), self.root
+            for name in os.path.relpath(folder, self.root).split(os.sep) if folder != self.root else ():
+                try:
+                    info = os.stat(here)
+                    above.add((info.st_dev, info.st_ino))
+                except OSError:
+                    pass
+                here = os.path.join(here, name)
+                texts = texts + self._texts(here)
+            for row in self._below(folder, texts, frozenset(above), deep):
+                if part.since is None or part.since < max(row[3], row[4]) <= part.until:
+                    yield row
 
     def _texts(self, folder: str) -> list[tuple[str, str]]:
         out = []
@@ -61,45 +90,93 @@ class _WalkReader(DataSourceReader):
         out = False
         for folder, text in texts:  # the nearest folder decides, and of its files the later one
             rel = os.path.relpath(path, folder) + ("/" if path.endswith("/") else "")
-            rules = IgnoreRules(text)
-            for keep, pattern in rules.rules:
+            for keep, pattern in _compiled(text).rules:
                 if pattern.match(rel) or (rel.endswith("/") and pattern.match(rel + "x")):
                     out = not keep
         return out
 
-    def _walk(self, folder: str, texts: list, deep: bool, above: set[tuple[int, int]]) -> Iterator[tuple]:
+    def _entries(self, folder: str, texts: list, above: frozenset) -> Iterator[tuple]:
+        """(path, is a folder, stat, ignore files that hold below, folders above it) of what a folder holds, without what is left out."""
         try:
-            info = os.stat(folder)
+            own = os.stat(folder)
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             return  # an unreadable folder is left out
-        if (info.st_dev, info.st_ino) in above:
-            return  # a link that leads back
-        above = above | {(info.st_dev, info.st_ino)}
-        if folder != self.root:
-            texts = texts + self._texts(folder)
-            yield self._row(folder, info, True)
+        above = above | {(own.st_dev, own.st_ino)}
         for e in entries:
             try:
-                folder_like, info = e.is_dir(follow_symlinks=self.links), e.stat(follow_symlinks=self.links)
+                is_folder, info = e.is_dir(follow_symlinks=self.links), e.stat(follow_symlinks=self.links)
             except OSError:
                 continue
-            if e.name == INDEX_DIR or (not self.hidden and e.name.startswith(".")) or self._ignored(e.path + "/" * folder_like, texts):
+            if e.name == INDEX_DIR or (not self.hidden and e.name.startswith(".")) or self._ignored(e.path + "/" * is_folder, texts):
                 continue
-            if self.links and e.is_symlink() and not os.path.realpath(e.path).startswith(self.root + os.sep):
+            if self.links and e.is_symlink() and not os.path.realpath(e.path).startswith(self.real + os.sep):
+                continue  # a link out of the tree, or to the tree itself
+            if is_folder and (info.st_dev, info.st_ino) in above:
+                continue  # a link that leads back
+            yield e.path, is_folder, info, texts + self._texts(e.path) if is_folder else texts, above
+
+    def _below(self, folder: str, texts: list, above: frozenset, deep: bool) -> Iterator[tuple]:
+        if folder != self.root:
+            try:
+                yield self._row(folder, os.stat(folder), True)
+            except OSError:
+                return
+        stack = [self._entries(folder, texts, above)]
+        while stack:
+            entry = next(stack[-1], None)
+            if entry is None:
+                stack.pop()
                 continue
-            if folder_like and deep:
-                yield from self._walk(e.path, texts, True, above)
-            elif stat.S_ISREG(info.st_mode):
-                yield self._row(e.path, info, False)
+            path, is_folder, info, inner, chain = entry
+            if is_folder and deep:
+                yield self._row(path, info, True)
+                stack.append(self._entries(path, inner, chain))
+            elif not is_folder and stat.S_ISREG(info.st_mode):
+                yield self._row(path, info, False)
 
     def _row(self, path: str, info: os.stat_result, folder: bool) -> tuple:
         raw = os.path.relpath(os.fsencode(path), os.fsencode(self.root))
         return (raw.decode("utf-8", "replace"), raw, info.st_size, info.st_mtime_ns, info.st_ctime_ns, info.st_ino, info.st_dev, info.st_mode, info.st_uid, info.st_gid, folder)
 
 
+class _WalkReader(_Walker, DataSourceReader):
+    def partitions(self) -> list[_Folders]:
+        return [_Folders(p) for p in self.split()]
+
+    def read(self, part: _Folders) -> Iterator[tuple]:
+        yield from self.rows(part)
+
+
+class _WalkStream(_Walker, DataSourceStreamReader):
+    """What has changed since the last batch. An offset is a moment; a batch is what was written, or changed otherwise, between two of them.
+
+    A moment is `lagMs` old when it is taken, so that a file changed in it is seen as it is after it.
+    Deletions leave no file that could be read: a reconciling run finds them.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.lag = int(float(options.get("lagms", "1000")) * 1_000_000)
+
+    def initialOffset(self) -> dict:
+        return {"ns": 0}
+
+    def latestOffset(self) -> dict:
+        return {"ns": time.time_ns() - self.lag}
+
+    def partitions(self, start: dict, end: dict) -> list[_Folders]:
+        return [_Folders(p, start["ns"], end["ns"]) for p in self.split()]
+
+    def read(self, part: _Folders) -> Iterator[tuple]:
+        yield from self.rows(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class WalkSource(DataSource):
-    """format("walk"): files and folders below `path`, with what stat() says. Options: hidden, followSymlinks, ignoreFiles."""
+    """format("walk"): files and folders below `path`, with what stat() says; as a stream, those that changed. Options: hidden, followSymlinks, ignoreFiles, tasks, lagMs."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,6 +188,9 @@ class WalkSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _WalkReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _WalkStream(dict(self.options))
+
 
 def walk(spark: SparkSession, root: str, hidden: bool = True, follow_symlinks: bool = True, ignore_files: bool = True) -> DataFrame:
     """A tree that every executor can see, without reading contents."""
@@ -118,6 +198,12 @@ def walk(spark: SparkSession, root: str, hidden: bool = True, follow_symlinks: b
     return spark.read.format("walk").option("hidden", str(hidden)).option("followSymlinks", str(follow_symlinks)).option("ignoreFiles", str(ignore_files)).load(root)
 
 
+def walk_stream(spark: SparkSession, root: str, lag_ms: int = 1000) -> DataFrame:
+    """What changes in a tree, batch by batch: the first holds everything."""
+    spark.dataSource.register(WalkSource)
+    return spark.readStream.format("walk").option("lagMs", lag_ms).load(root)
+
+
 def contents(spark: SparkSession, root: str, max_size: int = 2 * 2**30) -> DataFrame:
     """(path, size, mtime_ns, content) by Spark's own reader, from any store that it knows; bytes are read only where content is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_size)
