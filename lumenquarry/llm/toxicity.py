@@ -18,6 +18,8 @@ STEM, BITS = 5, 20
 SAMPLE = 3000
 #: Grades: 0 clean, 1 toxic, 2 toxic and of low quality.
 GRADES = 3
+#: Least distance of two cuts, and that of a cut beyond which no row of the sample is.
+LEAST_GAP, OUT_OF_REACH = 0.05, 30.0
 #: Value of a feature that occurs.
 SCALE = 0.1
 SLICE_BYTES = 1 << 18
@@ -56,10 +58,32 @@ class OrdinalModel:
         self.used = np.flatnonzero(weights)
         self.values, self.cuts = weights[self.used], cuts
 
+    @staticmethod
+    def loss(z: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(loss, its derivative by z, its derivatives by the cuts) of each row: minus the log of P(grade) = P(> grade - 1) - P(> grade).
+
+        With a and b for the two probabilities the derivative by z is a + b - 1: the slope of the logistic
+        curve is p (1 - p), so the difference of slopes is that of a and b times 1 - a - b.
+        """
+        n, k = len(z), len(cuts)
+        over = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -30, 30)))
+        edges = np.hstack([np.ones((n, 1)), over, np.zeros((n, 1))])
+        row = np.arange(n)
+        above, beyond = edges[row, grades], edges[row, grades + 1]
+        p = np.maximum(above - beyond, 1e-12)
+        by_cut = np.zeros((n, k))
+        low, high = grades > 0, grades < k
+        by_cut[row[low], grades[low] - 1] += (above * (1 - above) / p)[low]
+        by_cut[row[high], grades[high]] -= (beyond * (1 - beyond) / p)[high]
+        return -np.log(p), above + beyond - 1, by_cut
+
     @staticmethod
     def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 3e-5, rounds: int = 150) -> OrdinalModel:
-        """Full-batch accelerated proximal gradient; l1 keeps the weights of chance features at 0. Deterministic."""
-        k = GRADES - 1
+        """Full-batch accelerated proximal gradient on the cumulative-link likelihood; l1 keeps the weights of chance features at 0. Deterministic.
+
+        Rows of grade 0 and rows of the others weigh the same in all. A top grade that no row has stays out of reach.
+        """
+        k, top = GRADES - 1, int(grades.max()) if len(grades) else 0
         cuts = np.arange(1, k + 1) * 2.0
         if not len(rows) or not (grades > 0).any() or (grades > 0).all():
             return OrdinalModel(np.zeros(1 << BITS), np.full(k, 20.0) + np.arange(k))
@@ -69,27 +93,23 @@ class OrdinalModel:
         keep = (df >= 3)[column]
         owner, column = owner[keep], (np.cumsum(df >= 3) - 1).astype(np.int32)[column[keep]]
         names = names[df >= 3]
-        scale = np.full(len(owner), SCALE)
         weights, n = np.zeros(len(names)), len(rows)
         ahead, t = weights.copy(), 1.0
-        above = (grades[:, None] > np.arange(k)).astype(float)
-        seen = np.array([(grades > j).any() for j in range(k)])
-        balance = np.where(grades > 0, n / (2 * (grades > 0).sum()), n / (2 * (grades == 0).sum()))[:, None]
-        step = 40.0
+        balance = np.where(grades > 0, n / (2 * (grades > 0).sum()), n / (2 * (grades == 0).sum()))
+        step, used = 40.0, cuts[:top]
         for _ in range(rounds):
-            z = np.bincount(owner, weights=ahead[column] * scale, minlength=n)
-            p = 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -30, 30)))
-            error = (p - above) * balance * seen
-            gradient = np.bincount(column, weights=error.sum(1)[owner] * scale, minlength=len(names)) / n
+            z = SCALE * np.bincount(owner, weights=ahead[column], minlength=n)
+            _, by_z, by_cut = OrdinalModel.loss(z, used, grades)
+            gradient = SCALE * np.bincount(column, weights=(by_z * balance)[owner], minlength=len(names)) / n
             new = ahead - step * gradient
             new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-            cuts = cuts + np.where(seen, 4 * error.mean(0), 0)
-            cuts = np.maximum.accumulate(np.r_[cuts[0], np.maximum(cuts[1:], cuts[:-1] + 0.5)])
+            used = used - np.clip(2 * (by_cut * balance[:, None]).mean(0), -0.5, 0.5)
+            used = np.maximum.accumulate(np.r_[used[:1], np.maximum(used[1:], used[:-1] + LEAST_GAP)])
             t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
             ahead, weights = new + (was - 1) / t * (new - weights), new
         full = np.zeros(1 << BITS)
         full[names] = weights
-        return OrdinalModel(full, cuts)
+        return OrdinalModel(full, np.r_[used, used[-1] + OUT_OF_REACH * np.arange(1, k - top + 1)])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """P(grade > k) of each text and k."""

@@ -147,10 +147,11 @@ def test_toxicity_by_force():
     balance = np.where(grades > 0, 150 / (grades > 0).sum(), 150 / (grades == 0).sum())
 
     def loss(weights, cuts):
+        """Minus the log of P(grade), written out: the difference of two logistic curves."""
         z = np.array([X.SCALE * sum(weights.get(f, 0.0) for f in row) for row in features])
-        p = 1 / (1 + np.exp(cuts - z[:, None]))
-        above = grades[:, None] > np.arange(2)
-        return float((-np.where(above, np.log(p), np.log(1 - p)).sum(1) * balance).mean()) + 3e-5 * sum(map(abs, weights.values()))
+        over = [np.ones(len(z)), *(1 / (1 + np.exp(c - z)) for c in cuts), np.zeros(len(z))]
+        p = np.array([over[g][i] - over[g + 1][i] for i, g in enumerate(grades)])
+        return float((-np.log(p) * balance).mean()) + 3e-5 * sum(map(abs, weights.values()))
 
     least = loss(weight, model.cuts)
     for f in rng.choice(np.unique(np.concatenate(features)), 25).tolist():
@@ -161,6 +162,27 @@ def test_toxicity_by_force():
             assert loss(weight, model.cuts + step * (np.arange(2) == k)) > least
 
 
+def test_gradient_of_the_cumulative_link():
+    rng = np.random.default_rng(6)
+    z, grades, cuts = rng.normal(size=200) * 3, rng.integers(0, 3, 200), np.array([-0.4, 1.1])
+    value, by_z, by_cut = X.OrdinalModel.loss(z, cuts, grades)
+    over = lambda c: 1 / (1 + np.exp(c - z))
+    assert np.allclose(value, -np.log(np.choose(grades, [1 - over(cuts[0]), over(cuts[0]) - over(cuts[1]), over(cuts[1])])))
+    e = 1e-6
+    assert np.allclose(by_z, (X.OrdinalModel.loss(z + e, cuts, grades)[0] - X.OrdinalModel.loss(z - e, cuts, grades)[0]) / (2 * e), atol=1e-5)
+    for k in range(2):
+        d = e * (np.arange(2) == k)
+        assert np.allclose(by_cut[:, k], (X.OrdinalModel.loss(z, cuts + d, grades)[0] - X.OrdinalModel.loss(z, cuts - d, grades)[0]) / (2 * e), atol=1e-5)
+
+
+def test_grades_that_no_row_has():
+    """Without toxic rows of low quality grade 2 is out of reach; without other toxic rows both cuts nearly meet."""
+    rows = [np.array([1, 2 + i % 3]) for i in range(40)] + [np.array([7, 2 + i % 3]) for i in range(20)]
+    for g in (1, 2):
+        model = X.OrdinalModel.fit(rows, np.array([0] * 40 + [g] * 20))
+        assert (np.diff(model.cuts) > 0).all() and (model.cuts[1] - model.cuts[0] > 20) == (g == 1)
+
+
 def lm_by_force(rows):
     toks = [[w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for _, t in rows]
     train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
