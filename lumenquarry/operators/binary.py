@@ -15,19 +15,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenquarry.functions.charsets import decoded_text
+from lumenquarry.operators.pdf import read_pdf
+
 # Byte order marks
 BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
 def decode_bytes(raw: bytes) -> str:
-    """By the mark, as UTF-8 if it is that, else as windows-1252 with its few gaps replaced."""
+    """By the mark, as UTF-8 if it is that, else by the character set that its bytes speak for, with what isn't valid replaced."""
     for mark, name in BOMS:
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name, "replace")
-    try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        return raw.decode("windows-1252", "replace")
+    return decoded_text(raw)[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -138,16 +138,12 @@ def _docx(raw: bytes) -> tuple[str, dict[str, str]]:
     return "\n\n".join(t for _, _, t in docx_paragraphs(raw)), docx_properties(raw)
 
 
-def _pdf(raw: bytes) -> tuple[str, dict[str, str]]:
-    raise ValueError("[DEFERRED] no reader for this format")
-
-
 def _text(raw: bytes) -> tuple[str, dict[str, str]]:
     return decode_bytes(raw), {}
 
 
 #: By the name that functions.mime.extractor gives; add to it to read further formats.
-EXTRACTORS: dict[str, Callable[[bytes], tuple[str, dict[str, str]]]] = {"image": _image, "docx": _docx, "pdf": _pdf}
+EXTRACTORS: dict[str, Callable[[bytes], tuple[str, dict[str, str]]]] = {"image": _image, "docx": _docx, "pdf": read_pdf}
 
 
 @F.pandas_udf(EXTRACTED)

@@ -177,7 +177,7 @@ def test_binary_formats(spark):
     d = spark.createDataFrame([(1, "image", png), (2, "docx", docx()), (3, "pdf", b"%PDF"), (4, "docx", b"junk"), (5, "plaintext", b"hi"), (6, "image", None)], "i int, x string, c binary")
     got = {r.i: r.e for r in d.select("i", B.extracted("x", "c").alias("e")).collect()}
     assert got[1].meta["width"] == "30" and got[2].text == "Head\n\nBody" and got[2].meta["title"] == "T" and got[5].text == "hi"
-    assert got[3].error.startswith("[DEFERRED]") and got[4].error.startswith("[UNSUPPORTED]") and got[6].error is None
+    assert got[3].error.startswith("[UNSUPPORTED] pdf") and got[4].error.startswith("[UNSUPPORTED]") and got[6].error is None
 
 
 def zipped(**members):
