@@ -8,6 +8,8 @@ import re
 JUDGED = 1 << 16
 #: Of the characters beyond ASCII: the share of frequent ones that a set of two bytes, or of another script, needs; the share in words with A to Z beyond which the script is Latin.
 FREQUENT_HAN, FREQUENT_KANA, HANGUL, FREQUENT_LETTERS, LATIN = 0.12, 0.15, 0.8, 0.35, 0.2
+#: Letters beyond ASCII, and of them in a word on average, that speak for another script.
+LEAST_LETTERS, LEAST_RUN = 6, 2
 
 # Frequent characters of languages, and the sets that write them
 HAN = {
@@ -24,8 +26,6 @@ LATIN_LETTERS = (
 )
 MARKS = frozenset("“”‘’„–—…«»€°§·\xa0•™®©")
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 
 def _read(raw: bytes, name: str) -> str | None:
     try:
@@ -75,7 +75,8 @@ def charset(raw: bytes) -> str:
     runs = re.findall(r"[A-Za-z\x80-\xff]+", plain)
     high = sum(sum(c > "\x7f" for c in r) for r in runs)
     mixed = sum(sum(c > "\x7f" for c in r) for r in runs if re.search("[A-Za-z]", r))
-    if high and mixed / high < LATIN:
+    words = [r for r in runs if not r.isascii()]
+    if high >= LEAST_LETTERS and high >= LEAST_RUN * len(words) and mixed / high < LATIN:
         scored = []
         for codec, letters in SCRIPTS.items():
             text = part.decode(codec, "replace")
