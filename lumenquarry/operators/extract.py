@@ -81,13 +81,6 @@ def markdown_blocks(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(key, F.col("m.i").alias("line_ord"), kind.alias("kind"), F.when(kind == "heading", hashes).alias("level"), plain.alias("text"))
 
 
-def code_blocks(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, line_ord, kind, name): declarations at the start of a line, in Python, Rust and JavaScript."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_ord", "line"))
-    pattern = r"^\s*(?:pub(?:\([^)]*\))?\s+|export\s+|default\s+|async\s+|unsafe\s+)*(def|class|fn|struct|enum|trait|impl|mod|function)\s+([A-Za-z_]\w*)"
-    return rows.where(F.col("line").rlike(pattern)).select(key, "line_ord", F.regexp_extract("line", pattern, 1).alias("kind"), F.regexp_extract("line", pattern, 2).alias("name"))
-
-
 def csv_delimiter(text: Column) -> Column:
     """The most frequent of comma, tab, semicolon and bar in the first line; a tie goes to the first of these."""
     line = F.substring_index(text, "\n", 1)

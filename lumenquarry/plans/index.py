@@ -18,6 +18,7 @@ from lumenquarry.functions import vectors as V
 from lumenquarry.functions.analyzer import Analyzer
 from lumenquarry.operators import binary as B
 from lumenquarry.operators import chunk as C
+from lumenquarry.operators import code as D
 from lumenquarry.operators import extract as E
 from lumenquarry.operators import ivf as I
 from lumenquarry.operators import language as L
@@ -110,11 +111,12 @@ def _title(extractor: str, text: str, given: F.Column) -> F.Column:
     return F.coalesce(F.nullif(given, F.lit("")), found, F.lit(""))
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
+def _blocks(texts: DataFrame, target: int) -> DataFrame:
     """(file_id, block_ord, kind, context, byte_start, byte_end, text) of (file_id, path, extractor, text), each text by its own reader.
 
     What a reader finds no block in is read as plain text. context is the nearest heading above, in
-    marked-up texts; byte offsets are those of plain text.
+    marked-up texts, or the path of the declaration, in source texts whose blocks are declarations of up
+    to `target` words; byte offsets are those of plain and source texts.
     """
     body, log = F.col("text"), (F.col("extractor") == "plaintext") & M.is_log(F.col("path"), F.col("text"))
     of = lambda name: texts.where(F.col("extractor") == name)
@@ -130,9 +132,13 @@ def _blocks(texts: DataFrame) -> DataFrame:
     rest = texts.where(~F.col("extractor").isin("plaintext", "docx")).join(read.select("file_id").distinct(), "file_id", "left_anti")
     bare = F.when(F.col("extractor") == "html", E.html_text(body)).otherwise(body)
     plain = texts.where(F.col("extractor").isin("plaintext", "docx") & ~F.coalesce(log, F.lit(False))).select("file_id", "path", "text").unionByName(rest.select("file_id", "path", bare.alias("text")))
-    code = plain.select("file_id", F.when(M.code_language(F.col("path")).isNotNull(), "code").otherwise("paragraph").alias("kind"))
-    paragraphs = C.blocks(plain, "file_id", body).join(code, "file_id")
-    return read.unionByName(paragraphs, True).select("file_id", "block_ord", "kind", "context", "byte_start", "byte_end", "text")
+    language = M.code_language(F.col("path"))
+    known = F.coalesce(language.isin(*D.DECLARATIONS, *D.SAME), F.lit(False))
+    declared = D.source_blocks(plain.where(known), "file_id", body, language, target).withColumn("kind", F.lit("code"))
+    loose = plain.where(~known)
+    code = loose.select("file_id", F.when(language.isNotNull(), "code").otherwise("paragraph").alias("kind"))
+    paragraphs = C.blocks(loose, "file_id", body).join(code, "file_id")
+    return read.unionByName(declared, True).unionByName(paragraphs, True).select("file_id", "block_ord", "kind", "context", "byte_start", "byte_end", "text")
 
 
 class Index:
@@ -270,7 +276,7 @@ class Index:
         member_text = inside.where("content is not null").withColumn("extractor", M.extractor(F.col("mime_type"))).where(~F.col("extractor").isin("skip", "metadata", "archive", "image", "pdf", "docx")).withColumn("text", X.nfc(B.decoded("content")))
         text = text.unionByName(member_text.select("file_id", "path", "extractor", "text", _title("extractor", "text", F.lit(None).cast("string")).alias("title")))
         text = self._kept(text, f"{path}-text")
-        pieces = C.chunk_windows(_blocks(text), ("file_id", "block_ord", "kind", "context", "byte_start", "byte_end"), F.col("text"), self.config.chunking.target_tokens, self.config.chunking.overlap_tokens)
+        pieces = C.chunk_windows(_blocks(text, self.config.chunking.target_tokens), ("file_id", "block_ord", "kind", "context", "byte_start", "byte_end"), F.col("text"), self.config.chunking.target_tokens, self.config.chunking.overlap_tokens)
         pieces = pieces.withColumn("chunk_ord", (F.row_number().over(Window.partitionBy("file_id").orderBy("block_ord", "chunk_ord")) - 1).cast("int"))
         chunk_rows = pieces.select("file_id", "chunk_ord", "byte_start", "byte_end", F.col("kind").alias("block_kind"), X.with_prefix(F.col("context"), F.col("text")).alias("text"))
         chunk_rows = self._kept(chunk_rows, f"{path}-chunks")

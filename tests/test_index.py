@@ -114,7 +114,7 @@ def test_structured_files_in_an_index(spark, tmp_path):
     assert [c[:2] for c in chunks["rows.csv"]] == [("record", "name: Ada; town: Lon,don"), ("record", "name: Bob; town: Rome")]
     assert [c[1] for c in chunks["data.json"]] == ['{"a":1}', '{"a":2}']
     assert chunks["plain.txt"] == [("paragraph", "first block é", 0, 14), ("paragraph", "second block", 16, 29)]
-    assert chunks["main.py"][0][0] == "code" and [c[1] for c in chunks["all.zip!/in/inner.md"]] == ["Inside", "Inside\nburied words"]
+    assert chunks["main.py"] == [("code", "f\ndef f(): return 1", 0, 21)] and [c[1] for c in chunks["all.zip!/in/inner.md"]] == ["Inside", "Inside\nburied words"]
     meta = {r.path: r for r in ix.content.table("doc_meta").join(ix.manifest().select("file_id", "path"), "file_id").collect()}
     assert meta["web/page.html"].title == "Fine & Dandy" and meta["read.md"].title == "Manual"
     media = ix.content.table("media_meta").first()
