@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -231,19 +234,54 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vec
     return ranked(vectors.select(key, dot(doubles(F.col(vector)), q).alias("score")), k, key)
 
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", score: Column | None = None) -> DataFrame:
-    """The k nearest of each query (query_id, q) among (vec_id, v), a stated set of queries against all rows.
+def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id") -> DataFrame:
+    """The k nearest of each query (query_id, q) among (vec_id, v), a stated set of queries against all rows: (query_id, vec_id, score, rank).
 
-    The queries go to the rows in blocks of up to QUERY_BYTES, whose number is counted first; each
-    partition keeps its own k best for every query before they meet.
+    The queries go to the rows in blocks of up to QUERY_BYTES, whose number is counted first. A task
+    multiplies a batch of rows with the queries as matrices and hands on, for each query, only rows that
+    reach the k-th score of the batch; what meets in the end is k rows of each batch. Scores are inner
+    products in double precision, rounded to 6 digits, ties go to the smaller key. Vectors and queries
+    that are null, hold nulls or are of another length than the block's first query take no part.
     """
     sent = queries.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
     blocks = max(1, -(-sent // QUERY_BYTES))
+    kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
     found = None
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        pairs = vectors.join(F.broadcast(some), F.lit(True)).select(query_key, key, F.round(score if score is not None else dot(F.col("q"), F.col("v")), 6).alias("score"))
-        w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-        best = pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found
+        rows = some.where("q is not null").select(query_key, doubles(F.col("q")).alias("q")).toArrow()
+        near = vectors.where("v is not null").select(key, doubles(F.col("v")).alias("v")).mapInArrow(_batch_nearest(vectors.sparkSession.sparkContext.broadcast(rows), k, query_key, key), kinds)
+        found = near if found is None else found.unionByName(near)
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    best = found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w).cast("long"))
+    return best.where(F.col("rank") <= k)
+
+
+def _rows_of(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, places) of the lists of one length without nulls; the length is that of the first one unless given."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(lengths[0]) if width is None and len(lengths) else width or 0
+    whole = lengths == width
+    flat = column.filter(pa.array(whole)).flatten()
+    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) if width else np.zeros((0, 0))
+    full = np.isfinite(rows).all(axis=1)
+    return rows[full], np.flatnonzero(whole)[full]
+
+
+def _batch_nearest(sent: Broadcast, k: int, query_key: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        wanted, places = _rows_of(table.column("q"))
+        names = table.column(query_key).combine_chunks().take(pa.array(places))
+        for batch in batches:
+            rows, at = _rows_of(batch.column("v"), wanted.shape[1])
+            if not len(rows) or not len(wanted):
+                continue
+            for first in range(0, len(wanted), 256):
+                scores = wanted[first : first + 256] @ rows.T
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                q, r = np.nonzero(scores >= least[:, None] - 1e-5)  # what rounding may lift to a tie comes along
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), batch.column(key).take(pa.array(at[r])), pa.array(scores[q, r])], names=[query_key, key, "score"])
+
+    return run

@@ -282,7 +282,7 @@ class Index:
         chunk_rows = self._kept(chunk_rows, f"{path}-chunks")
         titles = text.select("file_id", "title")
         read_as = F.when(F.col("extractor") == "html", E.html_text(F.col("text"))).otherwise(F.col("text"))
-        meta = done.drop("title").join(titles, "file_id", "left").select("file_id", F.nullif("title", F.lit("")).alias("title"), *(F.col("meta")[n].alias(n) for n in ("author", "subject", "creator", "producer")), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.col("meta")["pages"].cast("int").alias("page_count"), X.word_count(F.coalesce(read_as, F.lit(""))).alias("word_count"), self._language()(read_as).alias("lang"))
+        meta = done.drop("title").join(titles, "file_id", "left").select("file_id", F.nullif("title", F.lit("")).alias("title"), *(F.coalesce(F.col("meta")[n], F.when(F.col("extractor") == "html", E.html_meta(F.col("text"), tag)) if tag else F.lit(None)).alias(n) for n, tag in (("author", "author"), ("subject", "description"), ("creator", "generator"), ("producer", None))), F.col("meta")["created"].alias("created_at"), F.col("meta")["modified"].alias("modified_at"), F.col("meta")["pages"].cast("int").alias("page_count"), X.word_count(F.coalesce(read_as, F.lit(""))).alias("word_count"), self._language()(read_as).alias("lang"))
         media = done.where("extractor = 'image' and error is null").select("file_id", *(F.col("meta")[n].cast(MEDIA_META[n].dataType).alias(n) for n in MEDIA_META.names[1:]))
         rollup = members.groupBy(F.col("archive").alias("path")).agg(F.count("member").alias("member_count"), F.sum("size").alias("total_size"), F.max("error").alias("worst"))
         archives = rollup.join(done.select("path", "file_id", "mime_type"), "path").select("file_id", "member_count", "total_size", F.col("mime_type").alias("format"), F.when(F.col("worst").isNull(), "complete").otherwise("partial").alias("extraction_status"))

@@ -88,7 +88,7 @@ def test_structured_files_in_an_index(spark, tmp_path):
 
     root = tmp_path / "tree"
     (root / "web").mkdir(parents=True)
-    (root / "web/page.html").write_text("<html><head><title>Fine &amp; Dandy</title><style>p {color: red}</style></head><body><h1>Harbours</h1><p>Ships <b>sail</b> north.</p><pre>run();</pre></body></html>")
+    (root / "web/page.html").write_text("<html><head><title>Fine &amp; Dandy</title><meta name="author" content="Ada"><meta name="description" content="Of ports"><style>p {color: red}</style></head><body><h1>Harbours</h1><p>Ships <b>sail</b> north.</p><pre>run();</pre></body></html>")
     (root / "bare.html").write_text("<div>only a division</div>")
     (root / "read.md").write_text("# Manual\n\nIntro words.\n\n```\ncode line\n```\n\n## Setup\n- plug it in\n")
     (root / "rows.csv").write_text('name,town\nAda,"Lon,don"\nBob,Rome\n')
@@ -116,7 +116,7 @@ def test_structured_files_in_an_index(spark, tmp_path):
     assert chunks["plain.txt"] == [("paragraph", "first block é", 0, 14), ("paragraph", "second block", 16, 29)]
     assert chunks["main.py"] == [("code", "f\ndef f(): return 1", 0, 21)] and [c[1] for c in chunks["all.zip!/in/inner.md"]] == ["Inside", "Inside\nburied words"]
     meta = {r.path: r for r in ix.content.table("doc_meta").join(ix.manifest().select("file_id", "path"), "file_id").collect()}
-    assert meta["web/page.html"].title == "Fine & Dandy" and meta["read.md"].title == "Manual"
+    assert tuple(meta["web/page.html"])[1:4] == ("Fine & Dandy", "Ada", "Of ports") and meta["read.md"].title == "Manual"
     media = ix.content.table("media_meta").first()
     assert (media.file_id, media.codec, media.width, media.height) == (paths["pic.png"].file_id, "png", 12, 34)
     assert ix.search("color").total == 0 and ix.search("dandy").rows.first().path == "web/page.html" and ix.search("buried").total == 1

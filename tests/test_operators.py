@@ -227,3 +227,21 @@ def test_work_and_leftovers(spark):
     m = spark.createDataFrame([(1, None), (2, 1)], "file_id long, parent_archive_id long")
     assert [r.file_id for r in N.orphans(spark.createDataFrame([(1,), (9,)], "file_id long"), m).collect()] == [9]
     assert rows(N.tree_of_archives(m), "members") == [(1, 1)]
+
+
+def test_knn_of_many_queries(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(400, 6)).round(1)  # ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(900, None), (901, [1.0]), (902, [None] * 6)], "vec_id long, v array<double>").repartition(3)
+    q = spark.createDataFrame([(i, rows[i].tolist()) for i in range(0, 400, 7)] + [(1000, None)], "query_id long, q array<double>")
+    want = []
+    for i in range(0, 400, 7):
+        scores = [(-round(float(rows[i] @ r), 6), j) for j, r in enumerate(rows)]
+        want += [(i, j, -s, rank) for rank, (s, j) in enumerate(sorted(scores)[:5], 1)]
+    for size in (1 << 20, 2000):
+        monkeypatch.setattr(S, "QUERY_BYTES", size)
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in S.knn_batch(q, v, 5).collect())
+        assert [(a, c) for a, _, c, _ in got] == [(a, c) for a, c, _, _ in sorted(want, key=lambda x: (x[0], x[3]))] and np.allclose([x[3] for x in got], [x[2] for x in sorted(want, key=lambda x: (x[0], x[3]))])
+    assert S.knn_batch(q.limit(0), v, 5).count() == S.knn_batch(q, v.limit(0), 5).count() == 0 and S.knn_batch(q, v.where("vec_id < 3"), 5).count() == 3 * 58
