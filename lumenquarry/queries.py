@@ -286,7 +286,7 @@ def tokenize_terms(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf, max(tf) AS max_tf FROM p GROUP BY term")
 def term_stats(spark, sf_dir):
-    p = S.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file_id"), {"body": F.col("text")})
+    p = _positional(spark, sf_dir, {"body": F.col("text")}).select("term", "tf")  # counted where each text is
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"))
 
 
