@@ -88,7 +88,7 @@ def test_structured_files_in_an_index(spark, tmp_path):
 
     root = tmp_path / "tree"
     (root / "web").mkdir(parents=True)
-    (root / "web/page.html").write_text("<html><head><title>Fine &amp; Dandy</title><meta name="author" content="Ada"><meta name="description" content="Of ports"><style>p {color: red}</style></head><body><h1>Harbours</h1><p>Ships <b>sail</b> north.</p><pre>run();</pre></body></html>")
+    (root / "web/page.html").write_text("<html><head><title>Fine &amp; Dandy</title><meta name=\"author\" content=\"Ada\"><meta name=\"description\" content=\"Of ports\"><style>p {color: red}</style></head><body><h1>Harbours</h1><p>Ships <b>sail</b> north.</p><pre>run();</pre></body></html>")
     (root / "bare.html").write_text("<div>only a division</div>")
     (root / "read.md").write_text("# Manual\n\nIntro words.\n\n```\ncode line\n```\n\n## Setup\n- plug it in\n")
     (root / "rows.csv").write_text('name,town\nAda,"Lon,don"\nBob,Rome\n')
