@@ -16,7 +16,6 @@ go by their hashes and are joined.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquarry.llm.common import dropped, dropped_kind, id_and_text, lean, saved, slices
+from lumenquarry.llm.common import dropped, dropped_kind, id_and_text, lean, packed, saved, slices, unpacked
 from lumenquarry.llm.words import hashed_words, mixed
 
 U = np.uint64
@@ -63,22 +62,6 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return token, counts + 1
 
 
-# packed arrays
-
-
-def packed(a: np.ndarray) -> bytes:
-    """Integers without a sign in as few bytes each as the largest needs, low bytes first, compressed."""
-    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)
-    planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return struct.pack("<BQ", width, len(a)) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    width, n = struct.unpack_from("<BQ", b)
-    planes = np.frombuffer(pa.decompress(pa.py_buffer(b)[9:], n * width, "zstd"), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
-
-
 # words
 
 

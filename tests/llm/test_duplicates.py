@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import lumenquarry.llm.jaccard_join as J
+from lumenquarry.llm.common import KeyFilter
 from lumenquarry.llm.graph import components
 from lumenquarry.llm.substring_dedup import substring_dedup
 from lumenquarry.llm.words import hashed_words
@@ -169,3 +171,22 @@ def test_words_built_to_collide_differ():
     hashes, counts = hashed_words([w.encode() for w in words] + [w.translate(str.maketrans("ab", "ba")).encode() for w in words])
     assert len(set(hashes.tolist())) == 8 and counts.tolist() == [1] * 8
     assert (hashed_words([(one.upper() + " Ab").encode()], lower=True)[0] == hashed_words([(one + " ab").encode()])[0]).all()
+
+
+def test_filters_hold_their_keys(spark):
+    keys = [i * 7919 - (1 << 40) for i in range(20_000)]
+    f = KeyFilter.of(spark.createDataFrame([(k,) for k in keys], "key long"), "key")
+    assert f.holds(np.array(keys)).all() and f.holds(np.arange(1 << 50, (1 << 50) + 20_000)).mean() < 0.05
+    assert not KeyFilter.of(spark.createDataFrame([], "key long"), "key").holds(np.arange(9)).any()
+
+
+def test_unlike_texts_do_not_move(spark):
+    """What similar texts need moves, and a few bytes a shingle; not the texts that are like no other."""
+    rng = random.Random(4)
+    texts = ["".join(f"{rng.getrandbits(60):x} " for _ in range(400)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate([*texts, texts[5] + "more"])), "doc_id long, text string")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(rows).collect()}
+    assert got == {i: i for i in range(300)} | {300: 5}
+    assert moved() - before < sum(map(len, texts)) / 4
