@@ -3,7 +3,8 @@
 A context is the word before (or the start of a text) and has a restaurant over words; all of them
 share one parent restaurant, whose base is uniform over the training words and one unknown word. The
 tables of the contexts are the customers of the parent. Seatings are sampled by Gibbs: one customer at
-a time leaves the table and is seated anew, at a table of the same word or at a new one. Predictive
+a time leaves the table and is seated anew, at a table of the same word or at a new one; of words with
+many customers in a restaurant all are seated at once. Predictive
 probabilities are averaged over the last samples.
 
 How it is laid out: texts become chunks of about CHUNK_TOKENS tokens, written once as word numbers. A
@@ -16,8 +17,10 @@ go by their hashes and are joined.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ SLICE_BYTES = 1 << 20
 GATHERED = 1_000_000
 #: Passes over all pairs that measure the restaurants; sweeps before the first sample; samples whose probabilities are averaged.
 PASSES, BURN_IN, SAMPLES, SEED = 1, 1, 2, 5
-#: Customers of a word in a restaurant that one sweep seats anew (all of them, up to that many; else so many drawn at random).
-RESEATED = 16
+#: Words of up to so many customers in a restaurant are seated one customer at a time, of more all at once; weights are stored for each number of customers up to EXACT.
+RESEATED, EXACT = 32, 1024
+#: Log-weights that are so far below the greatest one are left out of a draw.
+NEGLIGIBLE = 40.0
 #: Hot words in a row of sums.
 BLOCK = 1 << 14
 
@@ -224,17 +229,95 @@ def seated(n: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Gener
     return np.minimum(tables, n).astype(np.int64)
 
 
+def _ratios(r: np.ndarray, n: int, discount: float) -> None:
+    """From S(n, t) / S(n, t - 1), t from 2, to those of n + 1; S(n, t) weighs all seatings of n customers at t tables (generalized Stirling numbers)."""
+    k = min(n, len(r))
+    t = np.arange(2, k + 2)
+    below = np.empty(k)
+    below[0], below[1:] = 0, 1 / r[: k - 1]
+    r[:k] = (1 + (n - discount * t) * r[:k]) / (below + n - discount * (t - 1))
+
+
+@lru_cache(maxsize=2)
+def _small_sums(discount: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """For n up to EXACT: log S(n, t) less log S(n, 1), t from 1 to n; and the ratios of EXACT."""
+    r, out = np.zeros(EXACT), [np.zeros(0), np.zeros(1)]
+    for n in range(1, EXACT):
+        _ratios(r, n, discount)
+        out.append(np.r_[0, np.cumsum(np.log(r[:n]))])
+    return out, r
+
+
+def _tables_of(sums: np.ndarray, new: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+    """Tables for rows of one number of customers; None: with so few numbers of tables weights are missing."""
+    out = np.empty(len(new), np.int64)
+    step = max(1, (1 << 20) // len(sums))
+    for a in range(0, len(new), step):
+        weight = sums + np.log(new[a : a + step])[:, None] * np.arange(len(sums))
+        weight -= weight.max(1, keepdims=True)
+        if (weight[:, -1] > -NEGLIGIBLE).any():
+            return None
+        upto = np.cumsum(np.exp(weight), 1)
+        out[a : a + step] = 1 + (upto[:, :-1] < (rng.random(len(upto)) * upto[:, -1])[:, None]).sum(1)
+    return out
+
+
+@lru_cache(maxsize=8)
+def _stops(discount: float, width: int) -> tuple[list[int], list[np.ndarray]]:
+    """Numbers of customers from which `_sums_of` goes on, some hundred at most, and their ratios."""
+    r = np.zeros(max(width, EXACT))
+    r[:EXACT] = _small_sums(discount)[1]
+    return [EXACT], [r[:width].copy()]
+
+
+def _sums_of(n: int, discount: float, width: int) -> np.ndarray:
+    """log S(n, t) less log S(n, 1) for t up to width + 1; if those are all, a weight of none follows."""
+    if n <= EXACT:
+        return np.r_[_small_sums(discount)[0][n], -np.inf]
+    at, kept = _stops(discount, width)
+    i = bisect.bisect_right(at, n) - 1
+    now, r = at[i], kept[i].copy()
+    while now < n:
+        _ratios(r, now, discount)
+        now += 1
+        if now >= at[-1] + max(256, at[-1] // 64):
+            at.append(now), kept.append(r.copy())
+    sums = np.r_[0, np.cumsum(np.log(r[: n - 1]))]
+    return np.r_[sums, -np.inf] if n - 1 <= width else sums
+
+
+def drawn(n: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, width: int = 256) -> np.ndarray:
+    """Tables of n > 0 customers, all of them seated anew: t tables have the weight new**t * S(n, t).
+
+    Rows whose numbers of tables go beyond `width` are drawn with more.
+    """
+    out = np.empty(len(n), np.int64)
+    order = np.argsort(n, kind="stable")
+    cuts = np.flatnonzero(np.diff(n[order])) + 1
+    for rows in np.split(order, cuts) if len(n) else []:
+        wide, got = width, None
+        while got is None:
+            got = _tables_of(_sums_of(int(n[rows[0]]), discount, wide), new[rows], rng)
+            wide *= 4
+        out[rows] = got
+    return out
+
+
 class Seating:
-    """Tables of words in restaurants, one row per (restaurant, word): sampled by taking out and seating one customer at a time.
+    """Tables of words in restaurants, one row per (restaurant, word), sampled; every sweep seats all customers.
 
     A row's conditional depends on its own seats and on `new`, the weight of a new table (strength and
     discounted tables of the restaurant, times the parent's probability of the word), which is held
-    fixed within a pass. Rows with one customer have one table; they are not touched.
+    fixed within a pass. Rows with one customer have one table; they are not touched. Of rows of up to
+    RESEATED one customer at a time leaves and is seated; of more the tables are drawn from their whole
+    distribution, without a chain.
     """
 
     def __init__(self, n: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator):
         self.total, self.discount, self.rng = len(n), discount, rng
-        several = np.flatnonzero(n > 1)
+        self.whole = np.flatnonzero(n > RESEATED)
+        self.of_whole = n[self.whole], new[self.whole]
+        several = np.flatnonzero((n > 1) & (n <= RESEATED))
         self.row = several[np.argsort(-n[several], kind="stable")]
         self.n, self.new = n[self.row], new[self.row]
         self.tables = seated(self.n, self.new, discount, rng)
@@ -285,6 +368,7 @@ class Seating:
     def sample(self) -> np.ndarray:
         out = self.single.copy()
         out[self.row] = self.tables
+        out[self.whole] = drawn(*self.of_whole, self.discount, self.rng)
         return out
 
 
@@ -501,9 +585,10 @@ def _scores(batches: Iterator[pa.RecordBatch], model: PitmanYor, buckets: int) -
             pairs = Pairs(code, cold, hot, np.cumsum(counts), buckets)
             n, several = [], [[] for _ in range(SAMPLES)]
             for b in pairs.bucket.tolist():
-                n.append(unpacked(told[b][0]))
+                data = told.pop(b)
+                n.append(unpacked(data[0]))
                 for k in range(SAMPLES):
-                    several[k].append(unpacked(told[b][1 + k]))
+                    several[k].append(unpacked(data[1 + k]))
             n = np.concatenate(n)
             seats = np.tile((n > 0).astype(float), (SAMPLES, 1))
             for k in range(SAMPLES):

@@ -232,6 +232,31 @@ def test_seats_have_the_distribution_of_the_process():
             assert abs((tables == k).mean() - want[k] / total) < 0.015
 
 
+def test_all_customers_of_frequent_words_are_seated():
+    """Tables of words with many customers, in the parent too, are those of all seatings: no start of a chain is left in them."""
+    rng, d = np.random.default_rng(5), 0.6
+    logs = np.full(1600, -np.inf)
+    logs[1] = 0.0  # log S(n, t)
+    for n in range(1, 1500):
+        rest = np.maximum(n - d * np.arange(1600), 1e-300)
+        logs[1:] = np.logaddexp(logs[:-1], np.where(np.isfinite(logs[1:]), logs[1:] + np.log(rest[1:]), -np.inf))
+    for new in (0.8, 30.0, 900.0):  # a handful of tables, tens, and hundreds
+        w = logs + np.arange(1600) * np.log(new)
+        w = np.exp(w - w.max())
+        mean = (w * np.arange(1600)).sum() / w.sum()
+        got = H.drawn(np.full(3000, 1500), np.full(3000, new), d, rng)
+        assert abs(got.mean() - mean) < 5 * got.std() / 3000**0.5
+    assert (H.drawn(np.array([40, 1 << 15, 3]), np.full(3, 0.5), d, rng) > 0).all() and not len(H.drawn(np.zeros(0, int), np.zeros(0), d, rng))
+    # weights of up to 60 customers, by the recursion as it is written down
+    weight = {1: 1.0}
+    for n in range(1, 60):
+        weight = {t: weight.get(t - 1, 0) * 1.3 + weight.get(t, 0) * (n - d * t) for t in range(1, n + 2)}
+    mean = sum(t * w for t, w in weight.items()) / sum(weight.values())
+    for turn in (1, 2):
+        tables = H._parent_tables(np.full(20_000, 60), (d, 0.0, 0.5, 1.0), turn)  # a new table weighs 1 + 0.6 * 0.5
+        assert abs(tables.mean() - mean) < 0.03
+
+
 class PlainSampler:
     """The model as it is written down: every customer of both levels, seated one at a time."""
 
