@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenquarry.workers import bounded_batches
+
 #: Trigrams that are kept of a language, the most frequent ones.
 MOST_GRAMS = 8192
 #: Letters that a text needs, and how much better, in log-odds a letter, the best language must be than the next.
@@ -49,7 +51,11 @@ def _keys(codes: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
-    """(lang, gram, n): occurrences of each trigram in the texts of a language, added up in each batch of rows first. Null languages and texts teach nothing."""
+    """(lang, gram, n): occurrences of each trigram in the texts of a language, added up in each batch of rows first. Null languages and texts teach nothing.
+
+    Batches are bounded in bytes: a task holds some thirty bytes for each letter of one.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,6 +130,7 @@ class LanguageModel:
 
     def column(self, spark: SparkSession) -> Callable[[Column], Column]:
         """A function of a text column that gives its language, or null."""
+        bounded_batches(spark)
         sent = spark.sparkContext.broadcast(self)
 
         @F.pandas_udf("string")
