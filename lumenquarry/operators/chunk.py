@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenquarry.functions.text import words
+from lumenquarry.workers import bounded_batches
 
+#: Blocks that a task hands on at a time.
+BLOCK_ROWS = 1 << 14
 
 #: What a regular expression's \\s is, without the flag for Unicode.
 ASCII_SPACE = " \t\n\v\f\r"
@@ -33,26 +38,36 @@ def blocks(docs: DataFrame, key: str, text: Column, separator: str = "\n\n") ->
     """(key, block_ord, byte_start, byte_end, text): pieces between separators that aren't blank, trimmed, with byte offsets.
 
     Offsets come from the lengths of the pieces before, added up inside the row in Arrow batches: no
-    shuffle, and time in proportion to the text.
+    shuffle, and time in proportion to the text. A task holds a batch of bounded bytes and up to
+    BLOCK_ROWS blocks, or those of one text. Null texts have none.
     """
-
-    @F.pandas_udf("array<struct<start:bigint,end:bigint,piece:string>>")
-    def placed(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict] | None:
-            if t is None:
-                return None
-            at, out = 0, []
-            for p in t.split(separator):
-                end = at + len(p.encode())
-                if p.strip(ASCII_SPACE):
-                    out.append({"start": at, "end": end, "piece": p.strip(ASCII_SPACE)})
-                at = end + len(separator.encode())
-            return out
-
-        return texts.map(one)
-
-    rows = docs.select(key, F.posexplode(placed(text)).alias("block_ord", "b"))
-    return rows.select(key, "block_ord", F.col("b.start").alias("byte_start"), F.col("b.end").alias("byte_end"), F.col("b.piece").alias("text"))
+    bounded_batches(docs.sparkSession)
+    step = len(separator.encode())
+    rows = docs.select(key, text.cast("string").alias("text"))
+    names = [key, "block_ord", "byte_start", "byte_end", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, order, start, end, pieces = [], [], [], [], []
+
+            def flushed() -> pa.RecordBatch:
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(order, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(pieces, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for i, t in enumerate(batch.column(1)):
+                at = n = 0
+                for p in (t.as_py() or "").split(separator):
+                    upto = at + len(p.encode())
+                    if piece := p.strip(ASCII_SPACE):
+                        row.append(i), order.append(n), start.append(at), end.append(upto), pieces.append(piece)
+                        n += 1
+                    at = upto + step
+                if len(row) >= BLOCK_ROWS:
+                    yield flushed()
+                    row, order, start, end, pieces = [], [], [], [], []
+            yield flushed()
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, block_ord int, byte_start long, byte_end long, text string")
 
 
 def with_heading(rows: DataFrame, key: str, order: str, heading: str) -> DataFrame:
