@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lumenquarry.functions.analyzer import Analyzer
 from lumenquarry.operators.search import Query, bm25_weight
+from lumenquarry.workers import bounded_batches
 
-#: Rows that a task hands on at a time.
-BATCH_ROWS = 1 << 15
+#: Rows, and positions, that a task hands on at a time; terms that it adds up before it does.
+BATCH_ROWS, BATCH_PLACES, SUMMED = 1 << 15, 1 << 18, 1 << 17
 #: Documents of a block: those whose id has all but the lowest bits in common.
 BLOCK_BITS = 7
 #: What a bound may lose by the order in which doubles are added up.
@@ -26,6 +27,7 @@ def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ..
     Positions count the tokens of the field from 0, those without a term too; length counts terms.
     Null fields have none. only: terms whose rows are wanted; lengths stay those of whole fields.
     """
+    bounded_batches(chunks.sparkSession)
     analyzer, wanted = analyzer or Analyzer(), None if only is None else frozenset(only)
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
     columns = {f"_{i}": name for i, name in enumerate(fields)}
@@ -33,7 +35,7 @@ def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, field, term, length, tf, places = [], [], [], [], [], []
+            row, field, term, length, tf, places, held = [], [], [], [], [], [], 0
 
             def flushed() -> pa.RecordBatch:
                 picked = [batch.column(k).take(pa.array(row, pa.int64())) for k in keys]
@@ -41,17 +43,40 @@ def positional(chunks: DataFrame, fields: dict[str, Column], keys: tuple[str, ..
 
             for column, name in columns.items():
                 for i, text in enumerate(batch.column(column).to_pylist()):
-                    found, n = analyzer.positions(text or "")
-                    for t, at in found.items() if wanted is None else ((t, found[t]) for t in wanted & found.keys()):
+                    found, n = analyzer.positions(text or "", wanted)
+                    for t, at in found.items():
                         row.append(i), field.append(name), term.append(t), length.append(n), tf.append(len(at)), places.append(at)
-                    if len(row) >= BATCH_ROWS:
+                    held += n if wanted is None else sum(map(len, found.values()))
+                    if len(row) >= BATCH_ROWS or held >= BATCH_PLACES:
                         yield flushed()
-                        row, field, term, length, tf, places = [], [], [], [], [], []
+                        row, field, term, length, tf, places, held = [], [], [], [], [], [], 0
             yield flushed()
 
     return rows.mapInArrow(run, f"{kinds}, field string, term string, length long, tf long, positions array<int>")
 
 
+def term_counts(chunks: DataFrame, text: Column, analyzer: Analyzer | None = None) -> DataFrame:
+    """(term, df, total_tf): chunks that hold a term, and its occurrences. Each task adds up its chunks' terms first; no posting moves."""
+    bounded_batches(chunks.sparkSession)
+    analyzer = analyzer or Analyzer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, tf = {}, {}
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64()), pa.array(tf.values(), pa.int64())], names=["term", "df", "tf"])
+        for batch in batches:
+            for t in batch.column(0):
+                for term, n in analyzer.counts(t.as_py() or "").items():
+                    df[term] = df.get(term, 0) + 1
+                    tf[term] = tf.get(term, 0) + n
+                if len(df) >= SUMMED:
+                    yield rows()
+                    df, tf = {}, {}
+        yield rows()
+
+    parts = chunks.select(text.cast("string").alias("text")).mapInArrow(run, "term string, df long, tf long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total_tf"))
+
+
 # matching
 
 
