@@ -644,8 +644,7 @@ def postings_topk_blocks(spark, sf_dir):
 @query()
 def stemmed_term_stats(spark, sf_dir):
     """Folded stems of all texts: documents and occurrences."""
-    p = _positional(spark, sf_dir, {"body": F.col("text")}, Analyzer())
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    return P.term_counts(table(spark, sf_dir, "documents"), F.col("text"), Analyzer())
 
 
 @query()
