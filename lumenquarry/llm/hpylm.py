@@ -50,7 +50,7 @@ PASSES, BURN_IN, SAMPLES, SEED = 1, 1, 2, 5
 RESEATED, EXACT = 32, 1024
 #: Log-weights that are so far below the greatest one are left out of a draw.
 NEGLIGIBLE = 40.0
-#: Hot words in a row of sums.
+#: Hot words in a row of sums; pairs that are scored at once.
 BLOCK = 1 << 14
 
 
@@ -136,11 +136,13 @@ class Pairs:
         before[np.r_[0, ends[:-1]]] = code[-1]
         pair, self.inverse = np.unique(before * width + code, return_inverse=True)
         prev, word = pair // width, pair % width
+        size = len(pair)
+        del before, pair  # such arrays are most of what a task holds
         known = (prev < hot) & (word < hot)
-        name = np.zeros(len(pair), np.uint64)
+        name = np.zeros(size, np.uint64)
         name[known] = (prev[known] << BITS | word[known]).astype(np.uint64)
         rare = np.flatnonzero(~known)
-        self.hashes = np.zeros((2, len(pair)), np.int64)  # of a frequent word its number; it is marked as such by sign: see sent()
+        self.hashes = np.zeros((2, size), np.int64)  # of a frequent word its number; it is marked as such by sign: see sent()
         for side, codes in enumerate((prev[rare], word[rare])):
             is_hot = codes < hot
             value = codes.copy()
@@ -149,10 +151,11 @@ class Pairs:
             self.hashes[side, rare] = value
         mark = (prev[rare] < hot).astype(np.uint64) + U(2) * (word[rare] < hot).astype(np.uint64)
         name[rare] = mixed(self.hashes[0, rare].view(np.uint64) + mark * U(0x9E3779B97F4A7C15)) + self.hashes[1, rare].view(np.uint64)
-        self.mark = np.zeros(len(pair), np.int64)
+        self.mark = np.zeros(size, np.int64)
         self.mark[rare] = mark.astype(np.int64)
         bucket = (mixed(name) % U(buckets)).astype(np.int64)
-        order = np.lexsort((self.hashes[1], self.hashes[0], self.mark, np.where(known, pair, 0), ~known, bucket))
+        # pairs are in order within a bucket: those of hot words first, then the others; 16 bits are sorted in linear time
+        order = np.argsort((2 * bucket + ~known).astype(np.uint16 if 2 * buckets <= 1 << 16 else np.int64), kind="stable")
         self.prev, self.word, self.known, self.name, self.order = prev[order], word[order], known[order], name[order], order
         self.hashes, self.mark = self.hashes[:, order], self.mark[order]
         bucket = bucket[order]
@@ -262,28 +265,58 @@ def _tables_of(sums: np.ndarray, new: np.ndarray, rng: np.random.Generator) -> n
     return out
 
 
-@lru_cache(maxsize=8)
-def _stops(discount: float, width: int) -> tuple[list[int], list[np.ndarray]]:
-    """Numbers of customers from which `_sums_of` goes on, some hundred at most, and their ratios."""
-    r = np.zeros(max(width, EXACT))
-    r[:EXACT] = _small_sums(discount)[1]
-    return [EXACT], [r[:width].copy()]
+class Ratios:
+    """Ratios of more than EXACT customers (see `_ratios`), in place, from the nearest number below that is kept: some hundred stops at most, and the last one asked for."""
+
+    def __init__(self, discount: float, width: int):
+        r = np.zeros(max(width, EXACT))
+        r[:EXACT] = _small_sums(discount)[1]
+        self.at, self.kept = [EXACT], [r[:width].copy()]
+        self.now, self.r = EXACT, r[:width].copy()
+        t = np.arange(2, width + 2)
+        self.here, self.below = discount * t, discount * (t - 1)
+        self.room = np.empty(width), np.zeros(width)
+        self.told: dict[int, np.ndarray] = {}
+
+    def walk(self, n: int) -> np.ndarray:
+        i = bisect.bisect_right(self.at, n) - 1
+        if not self.at[i] <= self.now <= n:
+            self.now, self.r[:] = self.at[i], self.kept[i]
+        k = -1
+        while self.now < n:
+            if k != min(self.now, len(self.r)):
+                k = min(self.now, len(self.r))
+                r, here, below, up, down = (x[:k] for x in (self.r, self.here, self.below, *self.room))
+                before, down_but_first = r[:-1], down[1:]
+            np.subtract(self.now, here, out=up)
+            up *= r
+            up += 1
+            np.divide(1, before, out=down_but_first)
+            down[0] = 0
+            down += self.now
+            down -= below
+            np.divide(up, down, out=r)
+            self.now += 1
+            if self.now >= self.at[-1] + max(256, self.at[-1] // 64):
+                self.at.append(self.now), self.kept.append(self.r.copy())
+        return self.r
+
+    def sums(self, n: int) -> np.ndarray:
+        """log S(n, t) less log S(n, 1); those of the same n are asked for again in the next sample."""
+        if n not in self.told:
+            if len(self.told) * len(self.r) >= 1 << 18:
+                self.told.clear()
+            sums = np.r_[0, np.cumsum(np.log(self.walk(n)[: n - 1]))]
+            self.told[n] = np.r_[sums, -np.inf] if n - 1 <= len(self.r) else sums
+        return self.told[n]
+
+
+_far = lru_cache(maxsize=8)(Ratios)
 
 
 def _sums_of(n: int, discount: float, width: int) -> np.ndarray:
     """log S(n, t) less log S(n, 1) for t up to width + 1; if those are all, a weight of none follows."""
-    if n <= EXACT:
-        return np.r_[_small_sums(discount)[0][n], -np.inf]
-    at, kept = _stops(discount, width)
-    i = bisect.bisect_right(at, n) - 1
-    now, r = at[i], kept[i].copy()
-    while now < n:
-        _ratios(r, now, discount)
-        now += 1
-        if now >= at[-1] + max(256, at[-1] // 64):
-            at.append(now), kept.append(r.copy())
-    sums = np.r_[0, np.cumsum(np.log(r[: n - 1]))]
-    return np.r_[sums, -np.inf] if n - 1 <= width else sums
+    return np.r_[_small_sums(discount)[0][n], -np.inf] if n <= EXACT else _far(discount, width).sums(n)
 
 
 def drawn(n: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, width: int = 256) -> np.ndarray:
@@ -394,41 +427,63 @@ def in_parent(customers: np.ndarray, tables: np.ndarray, above: tuple[float, flo
 # buckets
 
 
+MERGED = "bucket long, pairs array<binary>, chunks array<long>, places array<binary>"
+_MERGED = pa.schema([("bucket", pa.int64()), ("pairs", pa.list_(pa.binary())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+
+
+def merged(asked: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """From what chunks ask of a bucket (see Pairs.sent): its distinct pairs with their training counts; for each chunk the places of its questions among them."""
+    names = [np.cumsum(unpacked(d[0])) for d in asked]
+    name, at_hot = np.unique(np.concatenate(names), return_inverse=True)
+    n_hot = np.bincount(at_hot, weights=np.concatenate([unpacked(d[1]) for d in asked]), minlength=len(name))
+    marks = [unpacked(d[2]) for d in asked]
+    mark = np.concatenate(marks)
+    prev, word = (np.concatenate([unpacked(d[i]) for d in asked]) for i in (3, 4))
+    order = np.lexsort((word, prev, mark))
+    mark, prev, word = mark[order], prev[order], word[order]
+    new = np.r_[True, (mark[1:] != mark[:-1]) | (prev[1:] != prev[:-1]) | (word[1:] != word[:-1])][: len(mark)]
+    at_rare = np.empty(len(mark), np.int64)
+    at_rare[order] = np.cumsum(new) - 1 + len(name)
+    n_rare = np.bincount(at_rare - len(name), weights=np.concatenate([unpacked(d[5]) for d in asked]), minlength=int(new.sum()))
+    places, a, b = [], 0, 0
+    for x, y in zip(map(len, names), map(len, marks), strict=True):
+        places.append(packed(np.r_[at_hot[a : a + x], at_rare[b : b + y]]))
+        a, b = a + x, b + y
+    n = np.r_[n_hot, n_rare].astype(np.int64)
+    return [packed(np.diff(name, prepend=0)), packed(mark[new]), packed(prev[new].view(np.uint64)), packed(word[new].view(np.uint64)), packed(n)], places
+
+
+@lean
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket and chunk: one row a bucket."""
+    number, chunks, asked = None, [], []
+
+    def out() -> pa.RecordBatch:
+        pairs, places = merged(asked)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, pairs, chunks, places), _MERGED, strict=True)], schema=_MERGED)
+
+    for batch in batches:
+        for b, chunk, data in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+            if asked and b != number:
+                yield out()
+                chunks, asked = [], []
+            number = b
+            chunks.append(chunk), asked.append(data.as_py())
+    if asked:
+        yield out()
+
+
 class Bucket:
-    """Distinct pairs of a bucket with their training counts, and how each chunk's questions map to them."""
-
-    def __init__(self, asked: list[dict]):
-        asked = sorted(asked, key=lambda m: m["chunk"])
-        self.chunks = [m["chunk"] for m in asked]
-        data = [m["data"] for m in asked]
-        names = [np.cumsum(unpacked(d[0])) for d in data]
-        self.of_hot = [len(x) for x in names]
-        name, at_hot = np.unique(np.concatenate(names), return_inverse=True)
-        n_hot = np.bincount(at_hot, weights=np.concatenate([unpacked(d[1]) for d in data]), minlength=len(name))
-        mark = np.concatenate([unpacked(d[2]) for d in data])
-        prev, word = (np.concatenate([unpacked(d[i]) for d in data]) for i in (3, 4))
-        order = np.lexsort((word, prev, mark))
-        mark, prev, word = mark[order], prev[order], word[order]
-        new = np.r_[True, (mark[1:] != mark[:-1]) | (prev[1:] != prev[:-1]) | (word[1:] != word[:-1])][: len(mark)]
-        at_rare = np.empty(len(mark), np.int64)
-        at_rare[order] = np.cumsum(new) - 1
-        n_rare = np.bincount(at_rare, weights=np.concatenate([unpacked(d[5]) for d in data]), minlength=int(new.sum()))
-        self.at_hot, self.at_rare = at_hot, at_rare + len(name)
-        self.of_rare = [len(unpacked(d[5])) for d in data]
-        mark, prev, word = mark[new], prev[new], word[new]
+    """Distinct pairs of a bucket with their training counts."""
+
+    def __init__(self, pairs: list[bytes]):
+        name = np.cumsum(unpacked(pairs[0]))
+        mark, prev, word, self.n = (unpacked(x) for x in pairs[1:])
         #: Numbers of hot words, -1 for others; hashes of the others, 0 for hot words.
         self.prev = np.r_[name >> BITS, np.where(mark & 1, prev, -1)]
         self.word = np.r_[name & ((1 << BITS) - 1), np.where(mark & 2, word, -1)]
         self.prev_hash = np.r_[np.zeros(len(name), np.int64), np.where(mark & 1, 0, prev)]
         self.word_hash = np.r_[np.zeros(len(name), np.int64), np.where(mark & 2, 0, word)]
-        self.n = np.r_[n_hot, n_rare].astype(np.int64)
-
-    def answers(self, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """What `values` says of the pairs that each chunk asked for, in its order."""
-        a = b = 0
-        for chunk, x, y in zip(self.chunks, self.of_hot, self.of_rare, strict=True):
-            yield chunk, values[np.r_[self.at_hot[a : a + x], self.at_rare[b : b + y]]]
-            a, b = a + x, b + y
 
 
 #: Of each sample: tables that a word is on, tables in its restaurant.
@@ -452,8 +507,8 @@ def _seat_buckets(batches: Iterator[pa.RecordBatch], hot: int, sizes: Sizes | No
     on, inside = np.zeros((samples, hot), np.int64), np.zeros((samples, hot), np.int64)
     pairs = ones = twos = 0
     for batch in batches:
-        for number, asked in zip(batch.column("bucket").to_pylist(), batch.column("m"), strict=True):
-            b = Bucket(asked.as_py())
+        for i, number in enumerate(batch.column("bucket").to_pylist()):
+            b = Bucket(batch.column("pairs")[i].as_py())
             pairs, ones, twos = pairs + int((b.n > 0).sum()), ones + int((b.n == 1).sum()), twos + int((b.n == 2).sum())
             if sizes is None:
                 drawn = [(b.n > 0).astype(np.int64)]
@@ -484,13 +539,14 @@ def _seat_buckets(batches: Iterator[pa.RecordBatch], hot: int, sizes: Sizes | No
                 given = {"kind": pa.repeat("rare", len(word)), "word": pa.array(word)} | {s: pa.array(sums[:, i]) for i, s in enumerate(SIDES)}
                 yield pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(len(word), f.type)) for f in _SUMS], schema=_SUMS)
             tables = np.stack(drawn)
-            told = []
-            for chunk, at in b.answers(np.arange(len(b.n))):
-                several = b.n[at] > 1
-                told.append((chunk, [packed(b.n[at]), *(packed(t[at[several]]) for t in tables)]))
-            for a in range(0, len(told), 64):
-                some = told[a : a + 64]
-                yield _sum_rows(kind=["answer"] * len(some), chunk=[c for c, _ in some], bucket=[number] * len(some), data=[d for _, d in some])
+            chunks, places = (batch.column(c)[i].as_py() for c in ("chunks", "places"))
+            for a in range(0, len(chunks), 64):
+                told = []
+                for place in places[a : a + 64]:
+                    at = unpacked(place)
+                    several = at[b.n[at] > 1]
+                    told.append([packed(b.n[at]), *(packed(t[several]) for t in tables)])
+                yield _sum_rows(kind=["answer"] * len(told), chunk=chunks[a : a + 64], bucket=[number] * len(told), data=told)
     yield _sum_rows(kind=["all"], sums=[[pairs, ones, twos]])
     if pairs:
         for a in range(0, hot, BLOCK):
@@ -573,6 +629,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: PitmanYor, buckets: int) -
                 continue
             code, ids = unpacked(data[0]), batch.column("ids")[i].as_py()
             counts, cold = (batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("counts", "cold"))
+            pairs = Pairs(code, cold, hot, np.cumsum(counts), buckets)
+            pairs.hashes = pairs.mark = pairs.name = None
             word, n, *others = (unpacked(x) for x in known or [packed(np.zeros(0, np.int64))] * (2 + len(RARE)))
             at = hot + np.searchsorted(cold.view(np.uint64), word.view(np.uint64))
             size = hot + len(cold)  # words that training doesn't hold have no row, and the probability of an unknown word
@@ -582,7 +640,6 @@ def _scores(batches: Iterator[pa.RecordBatch], model: PitmanYor, buckets: int) -
                 parent[k, hot:] = in_parent(0.0, 0.0, model.above[k])
                 on, inside[k, at], tables = others[3 * k : 3 * k + 3]
                 parent[k, at] = in_parent(on, tables, model.above[k])
-            pairs = Pairs(code, cold, hot, np.cumsum(counts), buckets)
             n, several = [], [[] for _ in range(SAMPLES)]
             for b in pairs.bucket.tolist():
                 data = told.pop(b)
@@ -594,7 +651,10 @@ def _scores(batches: Iterator[pa.RecordBatch], model: PitmanYor, buckets: int) -
             for k in range(SAMPLES):
                 seats[k, n > 1] = np.concatenate(several[k])
             p = np.empty(len(n))
-            p[pairs.order] = np.log10(model.probability(n, seats, count[pairs.prev], inside[:, pairs.prev], parent[:, pairs.word]))
+            for a in range(0, len(n), BLOCK):
+                z = slice(a, a + BLOCK)
+                prev, after = pairs.prev[z], pairs.word[z]
+                p[pairs.order[z]] = np.log10(model.probability(n[z], seats[:, z], count[prev], inside[:, prev], parent[:, after]))
             owner = np.repeat(np.arange(len(counts)), counts)
             total = lambda x, owner=owner, m=len(counts): np.bincount(owner, weights=x, minlength=m)
             base = np.log10((count + 1) / (model.tokens + model.words + 1))
@@ -662,13 +722,14 @@ def score_texts(docs: DataFrame, hot_words: int = HOT, id_col: str = "doc_id", t
     buckets = max(1, -(-(tokens + other) // BUCKET_ENTRIES))
     sent = spark.sparkContext.broadcast(hot)
     chunks = _by_kind(rows.mapInArrow(lambda it: _chunks(it, sent.value, buckets), CHUNKS), "chunks")
-    asked = chunks.where("kind = 'pairs'").groupBy("bucket").agg(F.collect_list(F.struct("chunk", "data")).alias("m"))
-    asked = saved(asked, "asked")
+    asked = chunks.where("kind = 'pairs'").select("bucket", "chunk", "data").repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    asked = saved(asked.mapInArrow(_merged, MERGED), "asked")
     dropped_kind(chunks, "pairs")
 
     def seat(sizes: Sizes | None, turn: int, last: bool = False) -> DataFrame:
         many, given = len(hot), spark.sparkContext.broadcast(sizes)
-        return _by_kind(asked.mapInArrow(lambda it: _seat_buckets(it, many, given.value, turn, last), SUMS), "seats")
+        rows = asked if last else asked.select("bucket", "pairs")
+        return _by_kind(rows.mapInArrow(lambda it: _seat_buckets(it, many, given.value, turn, last), SUMS), "seats")
 
     def all_of(sums: DataFrame) -> list[int]:
         return [int(x or 0) for x in sums.where("kind = 'all'").agg(*(F.sum(F.col("sums")[i]) for i in range(3))).first()]

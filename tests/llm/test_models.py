@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import lumenquarry.llm.hpylm as H
@@ -328,6 +330,73 @@ def test_lm_scores_are_those_of_a_plain_sampler(spark):
     assert H.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lm_scoring_holds_few_bytes_a_pair():
+    """One chunk, whose scores are written out below."""
+    rng = np.random.default_rng(10)
+    hot, cold, buckets = 20_000, np.sort(rng.integers(0, 1 << 62, 5_000)), 7
+    counts = np.full(4_000, 100)
+    code = rng.integers(0, hot + len(cold), counts.sum())
+    code[np.cumsum(counts) - 1] = hot - 1  # the end of a text
+    pairs = H.Pairs(code, cold, hot, np.cumsum(counts), buckets)
+    n = (pairs.prev * 7 + pairs.word) % 4
+    rows = [{"turn": 1, "bucket": b, "data": [H.packed(x), *[H.packed(x[x > 1] - 1)] * H.SAMPLES]} for b, x in zip(pairs.bucket.tolist(), np.split(n, pairs.first[1:]), strict=True)]
+    rows.append({"turn": 2, "ids": list(range(len(counts))), "counts": counts.tolist(), "cold": cold.tolist(), "data": [H.packed(code)]})
+    longs = pa.list_(pa.int64())
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("turn", pa.int32()), ("bucket", pa.int64()), ("ids", longs), ("counts", longs), ("cold", longs), ("data", pa.list_(pa.binary()))]))
+    count, above = rng.integers(1, 90, hot), (0.5, 9e5, 4e5, 1e-5)
+    model = H.PitmanYor(H.HotWords(np.arange(hot)), count, int(count.sum()), hot, 0.7, np.tile(np.minimum(count, 5.0), (H.SAMPLES, 1)), rng.random((H.SAMPLES, hot)), [above] * H.SAMPLES)
+    size, rows = len(pairs.order), None
+    del pairs
+    tracemalloc.start()
+    (got,) = H._scores(iter([batch]), model, buckets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    prev = np.r_[0, code[:-1]]
+    prev[np.arange(0, len(code), 100)] = hot - 1
+    n = (prev * 7 + code) % 4
+    guests, inside = (np.r_[x, np.zeros(len(cold))][prev] for x in (count, model.inside[0]))
+    p = sum((n - 0.7 * np.maximum(n - 1, n > 0) + (H.STRENGTH + 0.7 * inside) * np.r_[q, np.full(len(cold), H.in_parent(0.0, 0.0, above))][code]) / (H.STRENGTH + guests) for q in model.parent) / H.SAMPLES
+    assert np.allclose(got.column("score").to_numpy(), np.log10(p).reshape(-1, 100).sum(1))
+    assert peak < 170 * size
+
+
+def test_lm_pairs_of_a_bucket_are_merged():
+    rng = np.random.default_rng(11)
+    hot, word = 30, np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2))
+    want, asked = Counter(), {}
+    for chunk in range(5):
+        cold = np.sort(rng.choice(word, 20, replace=False)).view(np.int64)
+        code = np.r_[rng.integers(0, hot + 20, 399), hot - 1]
+        pairs = H.Pairs(code, cold, hot, np.array([400]), 3)
+        for b, data in pairs.sent(np.bincount(pairs.inverse)):
+            asked.setdefault(b, []).append((chunk, data))
+        name = [("hot", int(c)) if c < hot else ("cold", int(cold[c - hot])) for c in code]
+        want += Counter(zip([name[-1], *name[:-1]], name, strict=True))
+    got = Counter()
+    for told in asked.values():
+        packed, places = H.merged([d for _, d in told])
+        b = H.Bucket(packed)
+        names = [tuple(("hot", int(x)) if x >= 0 else ("cold", int(h)) for x, h in pair) for pair in zip(zip(b.prev, b.prev_hash, strict=True), zip(b.word, b.word_hash, strict=True), strict=True)]
+        assert len(set(names)) == len(names)
+        got += Counter(dict(zip(names, b.n.tolist(), strict=True)))
+        total = np.zeros(len(names), np.int64)
+        for (_, data), place in zip(told, places, strict=True):
+            np.add.at(total, H.unpacked(place), np.r_[H.unpacked(data[1]), H.unpacked(data[5])])  # in the order of the questions
+        assert (total == b.n).all()
+    assert got == want
+
+
+def test_ratios_do_not_depend_on_the_order_of_calls():
+    by_step = H._small_sums(0.6)[1][:64].copy()
+    ratios, want = H.Ratios(0.6, 64), {}
+    for n in range(H.EXACT, 3000):
+        want[n] = by_step.copy()
+        H._ratios(by_step, n, 0.6)
+    for n in (2999, 1500, 1501, 2400, 1025, 2999, 1100):
+        assert (ratios.walk(n) == want[n]).all()
+        assert (ratios.sums(n) == np.r_[0, np.cumsum(np.log(want[n]))]).all()
+
+
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(4)
     n = rng.poisson(1.5, (6, 40))  # contexts, words
